@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tidewire.llm import url_filter
+from tidewire.llm import simhash, url_filter
 
 
 def queries() -> dict[str, Callable]:
     return {
+        "op1_simhash": simhash.op1_simhash,
         "op2_url_filter": url_filter.op2_url_filter,
     }
 
