@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tidewire.llm import decontaminate, simhash, url_filter
+from tidewire.llm import decontaminate, ibf, simhash, url_filter
 
 
 def queries() -> dict[str, Callable]:
     return {
         "op1_simhash": simhash.op1_simhash,
         "op2_url_filter": url_filter.op2_url_filter,
+        "op4_fingerprints": ibf.op4_fingerprints,
         "op7_decontaminate": decontaminate.op7_decontaminate,
     }
 
