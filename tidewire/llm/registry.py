@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tidewire.llm import decontaminate, ibf, simhash, url_filter
+from tidewire.llm import decontaminate, ibf, language_id, pieces, simhash, url_filter, warc
 
 
 def queries() -> dict[str, Callable]:
     return {
         "op1_simhash": simhash.op1_simhash,
         "op2_url_filter": url_filter.op2_url_filter,
+        "op3_language_id": language_id.op3_language_id,
         "op4_fingerprints": ibf.op4_fingerprints,
+        "op5_warc": warc.op5_warc,
         "op7_decontaminate": decontaminate.op7_decontaminate,
+        "op10_sentencepiece": pieces.op10_sentencepiece,
     }
 
 
