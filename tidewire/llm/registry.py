@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tidewire.llm import decontaminate, html_text, ibf, language_id, pieces, simhash, url_filter, warc
+from tidewire.llm import decontaminate, html_text, ibf, language_id, pieces, quality, simhash, url_filter, warc
 
 
 def queries() -> dict[str, Callable]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable]:
         "op5_warc": warc.op5_warc,
         "op6_html_text": html_text.op6_html_text,
         "op7_decontaminate": decontaminate.op7_decontaminate,
+        "op8_quality": quality.op8_quality,
         "op10_sentencepiece": pieces.op10_sentencepiece,
     }
 
