@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tidewire.llm import decontaminate, html_text, ibf, language_id, pieces, quality, simhash, url_filter, warc
+from tidewire.llm import decontaminate, html_text, ibf, language_id, licenses, pieces, quality, simhash, url_filter, warc
 
 
 def queries() -> dict[str, Callable]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable]:
         "op6_html_text": html_text.op6_html_text,
         "op7_decontaminate": decontaminate.op7_decontaminate,
         "op8_quality": quality.op8_quality,
+        "op9_license_scan": licenses.op9_license_scan,
         "op10_sentencepiece": pieces.op10_sentencepiece,
     }
 
@@ -24,4 +25,5 @@ def queries() -> dict[str, Callable]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_url_filter": url_filter.ORACLE,
+        "op9_license_scan": licenses.ORACLE,
     }
