@@ -20,6 +20,7 @@ from itertools import accumulate, combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -269,6 +270,113 @@ def near_components(docs: DataFrame, words: int = 3, max_bits: int = 2, max_buck
     return prints.join(by_print, "fp").select(F.col("__k").alias(key), "fp", "component_id")
 
 
+# ---- similarity of shingle sets
+
+
+def partial_prints(distinct: np.ndarray, bands: int) -> list[int]:
+    """SimHashes of three shingles each: those least under the band's own order. Fewer than three shingles: of all."""
+    out = []
+    for b in range(bands):
+        order = (distinct ^ np.uint64((0x9E3779B97F4A7C15 * (b + 1)) & (1 << 64) - 1)) * np.uint64(0xD6E8FEB86659FD93)
+        order ^= order >> np.uint64(32)
+        out.append(majority(distinct[np.argpartition(order, 2)[:3]] if len(distinct) > 3 else distinct))
+    return out
+
+
+def shingle_sets(docs: DataFrame, words: int, bands: int, text: str, key: str) -> DataFrame:
+    """(k, fp, th, prints, shingles): key, SimHash, hash of the set of shingles, partial SimHashes, sorted 32-bit hashes of the set."""
+    from xxhash import xxh64_intdigest
+
+    def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in it:
+            for at in range(0, len(whole), 500):
+                batch = whole.slice(at, 500)
+                fps, ths, prints, sets = [], [], [], []
+                for t in batch.column(1).to_pylist():
+                    hashes = shingle_hashes(t, words)
+                    distinct = np.unique(hashes)
+                    fps.append(majority(hashes))
+                    ths.append(xxh64_intdigest(distinct.tobytes()) - (1 << 63))
+                    prints.append(partial_prints(distinct, bands))
+                    sets.append(np.unique((distinct >> np.uint64(32)).astype("<u4")).tobytes())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), pa.array(ths, pa.int64()), pa.array(prints, pa.list_(pa.int64())), pa.array(sets, pa.binary())], names=["k", "fp", "th", "prints", "shingles"])
+
+    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(rows, "k long, fp long, th long, prints array<long>, shingles binary")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Of pairs (a, b) of set hashes those whose sets have a Jaccard similarity of at least `similarity`."""
+    first = pairs.join(sets.select(F.col("th").alias("a"), F.col("shingles").alias("x")), "a")
+    both = first.join(sets.select(F.col("th").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
+
+    def keep(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            good = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                p, q = np.frombuffer(x.as_py(), "<u4"), np.frombuffer(y.as_py(), "<u4")
+                small, large = (p, q) if len(p) <= len(q) else (q, p)
+                if len(small) < similarity * len(large):
+                    good.append(False)
+                    continue
+                at = np.searchsorted(large, small)
+                at[at == len(large)] = 0
+                same = int((large[at] == small).sum()) if len(large) else 0
+                good.append(same >= similarity * (len(p) + len(q) - same))
+            kept = batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+            if len(kept):
+                yield kept
+
+    return both.mapInArrow(keep, "a long, b long")
+
+
+def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 12, max_bits: int = 3, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(key, component_id) for every row of docs: the least key among documents joined by links of Jaccard similarity.
+
+    64 bits within max_bits find only the closest copies, so candidates are the pigeonhole links of whole fingerprints
+    and the agreements of partial ones: sets of similarity 0.8 agree on one of 12 partial fingerprints in 99.98 of 100
+    cases. In each group that agrees two members, the least of two random orders, are compared with all: linear however
+    large the group, and each document meets other hubs in each band. All candidates are verified on whole sets.
+
+    Texts without words are no copies of anything. Null keys and repeated rows are kept; a null key never names a component.
+    """
+    table = cut(shingle_sets(docs, words, bands, text, key), "shingle-sets")
+    each = cut(table.where(F.length("shingles") > 0).groupBy("th").agg(F.min("k").alias("least"), F.first("fp").alias("fp"), F.first("prints").alias("prints")), "texts")
+    ranks = [F.struct(F.xxhash64("th", F.lit(s)).alias("h"), "th") for s in (1, 2)]
+    listed = each.select("th", F.posexplode("prints").alias("band", "print"))
+    groups = listed.groupBy("band", "print").agg(F.count("*").alias("n"), *(F.min(r).alias(f"h{i}") for i, r in enumerate(ranks))).where("n > 1")
+    met = cut(listed.join(groups.select("band", "print", F.col("h0.th").alias("p"), F.col("h1.th").alias("q")), ["band", "print"]).select("th", "p", "q"), "met")
+    hubs = met.select("th", F.col("p").alias("hub")).unionAll(met.select("th", F.col("q").alias("hub")))
+    # whole fingerprints: each link of fingerprints stands for the least texts that have them, and texts of one fingerprint meet its least
+    by_print = each.groupBy("fp").agg(F.min("th").alias("th"), F.count("*").alias("n"))
+    ends = links(by_print.select("fp"), max_bits)
+    of = by_print.select("fp", "th")
+    wide = ends.join(of.withColumnsRenamed({"fp": "a", "th": "x"}), "a").join(of.withColumnsRenamed({"fp": "b", "th": "y"}), "b").select(F.col("x").alias("th"), F.col("y").alias("hub"))
+    same = each.join(by_print.where("n > 1").select("fp", F.col("th").alias("hub")), "fp").select("th", "hub")
+    all_pairs = hubs.unionAll(wide).unionAll(same).where("th <> hub")
+    pairs = cut(all_pairs.select(F.least("th", "hub").alias("a"), F.greatest("th", "hub").alias("b")).distinct(), "pairs")
+    wanted = cut(pairs.select(F.col("a").alias("th")).unionAll(pairs.select(F.col("b").alias("th"))).distinct(), "wanted")
+    # one row of each set: that of the text's least key; sets of single texts aren't moved
+    owners = cut(each.join(wanted, "th").select("th", F.col("least").alias("k")), "owners")
+    rows = table.select("k", "th", "shingles")
+    few = F.broadcast(owners) if owners.count() <= 1_000_000 else owners
+    sets = cut(rows.join(few, [rows["th"] == owners["th"], rows["k"].eqNullSafe(owners["k"])], "left_semi").dropDuplicates(["th"]).select("th", "shingles"), "sets")
+    roots = components(cut(verified(pairs, sets, similarity), "verified")).withColumnRenamed("node", "th")
+    rooted = cut(each.join(roots, "th", "left").select("th", "least", F.coalesce("root", "th").alias("root")), "rooted")
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    by_text = cut(rooted.join(named, "root").select("th", "component_id"), "named")
+    out = table.select("k", "th").join(by_text, "th", "left")
+    return out.select(F.col("k").alias(key), F.coalesce("component_id", "k").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", **how) -> DataFrame:
+    """The documents that name their component; of rows that repeat a key one stays. Rows with a null key stay."""
+    found = similar_components(docs, key=key, **how)
+    kept = found.where(F.col(key) == F.col("component_id")).select(key).distinct()
+    order = list(docs.columns)
+    one = docs.where(F.col(key).isNotNull()).join(kept, key, "left_semi").dropDuplicates([key])
+    return one.select(order).unionAll(docs.where(F.col(key).isNull()).select(order))
+
+
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return near_components(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
