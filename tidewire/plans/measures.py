@@ -26,7 +26,7 @@ def rising_event_types(spark, d):
 
 
 def new_event_types(spark, d):
-    e = _events(spark, d).withColumn("tag", F.concat_ws("-", "event_type", F.col("user_id").cast("string")))
+    e = _events(spark, d).withColumn("tag", F.concat_ws("-", "event_type", F.col("user_id").cast("string"), F.floor("value").cast("string")))
     today = F.lit(e.agg(F.max("day")).first()[0])
     return A.new_tags(A.tag_windows(e, "tag", "day", today), "tag")
 
@@ -188,7 +188,7 @@ SQL = {
     "rising_event_types": """WITH e AS (SELECT event_type || '-' || (user_id % 11) AS tag, ts::date AS day FROM events), t AS (SELECT max(day) AS today FROM e),
         w AS (SELECT tag, sum((day >= today - 7)::int) AS now7, sum((day >= today - 14 AND day < today - 7)::int) AS prev7 FROM e, t GROUP BY 1)
         SELECT tag, now7, prev7, now7 - prev7 AS delta FROM w WHERE now7 >= 3 AND now7 > prev7 ORDER BY delta DESC, now7 DESC, tag LIMIT 10""",
-    "new_event_types": """WITH e AS (SELECT event_type || '-' || user_id AS tag, ts::date AS day FROM events), t AS (SELECT max(day) AS today FROM e)
+    "new_event_types": """WITH e AS (SELECT event_type || '-' || user_id || '-' || floor(value)::bigint AS tag, ts::date AS day FROM events), t AS (SELECT max(day) AS today FROM e)
         SELECT tag, sum((day >= today - 7)::int) AS now7 FROM e, t GROUP BY 1 HAVING sum((day < today - 7)::int) = 0 AND sum((day >= today - 7)::int) >= 2""",
     "bucket_timeline_from_end": """WITH e AS (SELECT ts::date AS day FROM events), t AS (SELECT max(day) AS last FROM e)
         SELECT ((last - day) // 7)::int AS bucket, min(day) AS first_day, max(day) AS last_day, count(*) AS n FROM e, t WHERE last - day BETWEEN 0 AND 29 GROUP BY 1""",
