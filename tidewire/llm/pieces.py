@@ -57,6 +57,10 @@ class Vocabulary:
             loose = "".join(c for c in "\n\t\r" if not any(c.encode() in p for p in names))
             if any(re.search(f"[^{SPACE}]{SPACE}", p.decode()) for p in names):
                 raise ValueError("a piece goes on behind a space, so chunks can't be cut there")
+            # no piece goes on from a letter into these, so a chunk ends there
+            into = {b for p in names for a, b in zip(p.decode(), p.decode()[1:], strict=False) if a.isalpha()}
+            stops = re.escape("".join(sorted(set(".,;:!?*&$%#\"|") - into)) or "\0")
+            run = rf"(?:[^{SPACE}{loose}{stops}]+|(?<![^\W\d_])[{stops}])"
             levels = -(-max(map(len, names), default=1) // 8)
             width = levels * 8
             pad = lambda c: np.frombuffer(b"".join(p.ljust(width, c) for p in names), ">u8").astype(np.uint64).reshape(-1, levels)
@@ -65,11 +69,12 @@ class Vocabulary:
             self.tables = {
                 "rank": np.array([place[-self.scores[self.pieces[p]]] for p in names], np.int64),
                 "score": np.array([self.scores[self.pieces[p]] for p in names]),
+                "id": np.array([self.pieces[p] for p in names], np.int64),
                 "length": np.array([len(p) for p in names], np.int64),
                 "low": pad(b"\x00"),
                 "high": pad(b"\xff"),
                 "levels": levels,
-                "chunk": re.compile(f"{SPACE}*[^{SPACE}{loose}]+|{SPACE}+" + (f"|[{loose}]" if loose else "")),
+                "chunk": re.compile(rf"{SPACE}*{run}+|(?<=[^\W\d_])[{stops}]{run}*|{SPACE}+" + (f"|[{loose}]" if loose else "")),
                 "show": show,
             }
         return self.tables
@@ -167,34 +172,100 @@ def best_path(bounds: list[int], scores: dict[int, float], lowest: float) -> lis
     return out[::-1]
 
 
+def join_all(text: np.ndarray, keys: np.ndarray, ranks: np.ndarray, width: int, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """join_pairs over many chunks [begin, end) at once, a pair of each chunk a round: starts and stops of the tokens, by position.
+
+    keys: position * width + length of each edge, sorted; ranks: their ranks.
+    """
+    none = np.iinfo(np.int64).max
+
+    def rank(a: np.ndarray, e: np.ndarray) -> np.ndarray:
+        size = e - a
+        at = np.searchsorted(keys, a * width + size)
+        at[at == len(keys)] = 0
+        return np.where((size < width) & (keys[at] == a * width + size), ranks[at], none) if len(keys) else np.full(len(a), none)
+
+    inside = np.zeros(len(text) + 1, np.int64)
+    inside[begin] += 1
+    inside[end] -= 1
+    start = np.flatnonzero((np.cumsum(inside[:-1]) > 0) & (text & 0xC0 != 0x80))
+    chunk = np.searchsorted(begin, start, side="right") - 1
+    stop = np.append(start[1:], 0)
+    last = np.append(chunk[1:] != chunk[:-1], True) if len(chunk) else np.empty(0, bool)
+    stop[last] = end[chunk[last]]
+    best = np.full(len(start), none)
+    best[~last] = rank(start[~last], stop[np.flatnonzero(~last) + 1])
+    starts, stops = [], []
+    while len(start):
+        first = np.flatnonzero(np.append(True, chunk[1:] != chunk[:-1]))
+        size = np.diff(np.append(first, len(start)))
+        least = np.repeat(np.minimum.reduceat(best, first), size)
+        done = least == none
+        if done.any():
+            starts.append(start[done])
+            stops.append(stop[done])
+            start, stop, chunk, best, least = start[~done], stop[~done], chunk[~done], best[~done], least[~done]
+            if not len(start):
+                break
+        here = np.flatnonzero(best == least)
+        here = here[np.append(True, chunk[here[1:]] != chunk[here[:-1]])]  # the leftmost of each chunk
+        stop[here] = stop[here + 1]
+        keep = np.ones(len(start), bool)
+        keep[here + 1] = False
+        moved = here - np.arange(len(here))  # places after the joined halves are gone
+        start, stop, chunk, best = start[keep], stop[keep], chunk[keep], best[keep]
+        again = np.unique(np.concatenate([moved, moved[moved > 0] - 1]))
+        inner = again[again + 1 < len(start)]
+        inner = inner[chunk[inner] == chunk[inner + 1]]
+        best[again] = none
+        best[inner] = rank(start[inner], stop[inner + 1])
+    a, e = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (starts, stops))
+    order = np.argsort(a, kind="stable")
+    return a[order], e[order]
+
+
 def encode_chunks(chunks: list[str], v: Vocabulary) -> list[bytes]:
     """The ids of each chunk, as little-endian 32-bit integers."""
+    if not chunks:
+        return []
     t = v.prepare()
     raw = [c.encode() for c in chunks]
     text = np.frombuffer(b"\xff".join(raw), np.uint8)  # no piece has the byte FF
     at, piece = edges(text, v)
-    begins = np.concatenate([[0], np.cumsum([len(r) + 1 for r in raw])])
-    cuts = np.searchsorted(at, begins).tolist()
-    base = np.repeat(begins[:-1], np.diff(cuts))
-    key = (((at - base) << _SHIFT) | (at - base + t["length"][piece])).tolist()
-    value = (t["rank"] if v.kind == "bpe" else t["score"])[piece].tolist()
-    lowest = float(t["score"].min()) if len(t["score"]) else 0.0
-    out = []
-    for k, r in enumerate(raw):
-        found = dict(zip(key[cuts[k] : cuts[k + 1]], value[cuts[k] : cuts[k + 1]], strict=True))
-        bounds = [i for i, b in enumerate(r) if b & 0xC0 != 0x80] + [len(r)]
-        bounds = join_pairs(bounds, found) if v.kind == "bpe" else best_path(bounds, found, lowest)
-        ids: list[int] = []
-        for a, e in zip(bounds, bounds[1:], strict=False):
-            i = v.pieces.get(r[a:e])
-            if i is not None:
-                ids.append(i)
-            elif v.byte_ids:
-                ids.extend(v.byte_ids[b] for b in r[a:e])
-            else:
-                ids.append(v.unknown)
-        out.append(np.array(ids, "<i4").tobytes())
-    return out
+    size = np.array([len(r) for r in raw])
+    begin = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
+    width = int(t["length"].max(initial=0)) + 1
+    keys = at * width + t["length"][piece]
+    order = np.argsort(keys, kind="stable")
+    keys, piece = keys[order], piece[order]
+    short = size < 64 if v.kind == "bpe" else np.zeros(len(raw), bool)
+    starts, stops = join_all(text, keys, t["rank"][piece], width, begin[short], (begin + size)[short])
+    for k in np.flatnonzero(~short).tolist():
+        lo, hi = np.searchsorted(keys, [begin[k] * width, (begin[k] + size[k]) * width])
+        a = keys[lo:hi] // width - begin[k]
+        own = (a << _SHIFT | (a + keys[lo:hi] % width)).tolist()
+        bounds = [i for i, b in enumerate(raw[k]) if b & 0xC0 != 0x80] + [len(raw[k])]
+        if v.kind == "bpe":
+            bounds = join_pairs(bounds, dict(zip(own, t["rank"][piece[lo:hi]].tolist(), strict=True)))
+        else:
+            bounds = best_path(bounds, dict(zip(own, t["score"][piece[lo:hi]].tolist(), strict=True)), float(t["score"].min()))
+        starts, stops = np.append(starts, np.array(bounds[:-1], np.int64) + begin[k]), np.append(stops, np.array(bounds[1:], np.int64) + begin[k])
+    if not short.all():
+        order = np.argsort(starts, kind="stable")
+        starts, stops = starts[order], stops[order]
+    # the id of each token; one without a piece gives the ids of its bytes, or the unknown id
+    place = np.searchsorted(keys, starts * width + stops - starts)
+    place[place == len(keys)] = 0
+    known = (stops - starts < width) & (keys[place] == starts * width + stops - starts) if len(keys) else np.zeros(len(starts), bool)
+    count = np.where(known | (not v.byte_ids), 1, stops - starts)
+    ids = np.repeat(np.where(known, t["id"][piece[place]], v.unknown) if len(keys) else np.full(len(starts), v.unknown), count)
+    if v.byte_ids:
+        lost = np.repeat(~known, count)
+        source = np.arange(len(ids)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(starts, count)
+        ids[lost] = np.array(v.byte_ids)[text[source[lost]]]
+    cuts = np.append(0, np.cumsum(count))[np.searchsorted(starts, np.append(begin, len(text) + 1))] * 4
+    flat = ids.astype("<i4").tobytes()
+    return [flat[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
 
 class Encoder:
