@@ -19,6 +19,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,7 +38,7 @@ class Vocabulary:
     byte_ids: list[int]
     unknown: int
     kind: str = "bpe"
-    tables: dict = field(default_factory=dict, repr=False)
+    tables: dict = field(default_factory=dict, repr=False, compare=False)
 
     @classmethod
     def load(cls, path: str = MODEL, kind: str = "bpe") -> Vocabulary:
@@ -66,6 +67,8 @@ class Vocabulary:
             pad = lambda c: np.frombuffer(b"".join(p.ljust(width, c) for p in names), ">u8").astype(np.uint64).reshape(-1, levels)
             show = {i: p.replace(SPACE.encode(), b" ") for p, i in self.pieces.items()}
             show |= {i: bytes([b]) for b, i in enumerate(self.byte_ids)}
+            listed = [show.get(i, b"") for i in range(max(show, default=-1) + 1)] + [b""]
+            sizes = np.array([len(x) for x in listed])
             self.tables = {
                 "rank": np.array([place[-self.scores[self.pieces[p]]] for p in names], np.int64),
                 "score": np.array([self.scores[self.pieces[p]] for p in names]),
@@ -75,7 +78,9 @@ class Vocabulary:
                 "high": pad(b"\xff"),
                 "levels": levels,
                 "chunk": re.compile(rf"{SPACE}*{run}+|(?<=[^\W\d_])[{stops}]{run}*|{SPACE}+" + (f"|[{loose}]" if loose else "")),
-                "show": show,
+                "show_size": sizes,
+                "show_start": np.cumsum(sizes) - sizes,
+                "show_bytes": np.frombuffer(b"".join(listed), np.uint8),
             }
         return self.tables
 
@@ -88,7 +93,7 @@ def suffixes(text: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray]:
     keys = np.zeros(n + 8 * levels, np.uint64)
     for j in range(8):
         keys = (keys << np.uint64(8)) | padded[j : j + len(keys)]
-    order = np.argsort(keys[:n], kind="stable")
+    order = np.argsort(keys[:n])
     group = np.cumsum(np.concatenate([[0], keys[order[1:]] != keys[order[:-1]]])) if n else order
     for level in range(1, levels):
         same = np.zeros(n, bool)
@@ -108,7 +113,7 @@ def suffixes(text: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def edges(text: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """Position and piece (its place in the sorted pieces) of all occurrences, by position."""
+    """Position and piece (its place in the sorted pieces) of all occurrences, by position and then length."""
     t = v.prepare()
     order, keys = suffixes(text, t["levels"])
     first = keys[order]
@@ -122,7 +127,7 @@ def edges(text: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     piece = np.repeat(np.arange(len(count)), count)
     rows = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
     at = order[rows]
-    by = np.argsort(at, kind="stable")
+    by = np.argsort(at * (int(t["length"].max(initial=0)) + 1) + t["length"][piece])
     return at[by], piece[by]
 
 
@@ -214,7 +219,10 @@ def join_all(text: np.ndarray, keys: np.ndarray, ranks: np.ndarray, width: int,
         keep[here + 1] = False
         moved = here - np.arange(len(here))  # places after the joined halves are gone
         start, stop, chunk, best = start[keep], stop[keep], chunk[keep], best[keep]
-        again = np.unique(np.concatenate([moved, moved[moved > 0] - 1]))
+        touched = np.zeros(len(start), bool)
+        touched[moved] = True
+        touched[moved[moved > 0] - 1] = True
+        again = np.flatnonzero(touched)
         inner = again[again + 1 < len(start)]
         inner = inner[chunk[inner] == chunk[inner + 1]]
         best[again] = none
@@ -236,8 +244,6 @@ def encode_chunks(chunks: list[str], v: Vocabulary) -> list[bytes]:
     begin = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
     width = int(t["length"].max(initial=0)) + 1
     keys = at * width + t["length"][piece]
-    order = np.argsort(keys, kind="stable")
-    keys, piece = keys[order], piece[order]
     short = size < 64 if v.kind == "bpe" else np.zeros(len(raw), bool)
     starts, stops = join_all(text, keys, t["rank"][piece], width, begin[short], (begin + size)[short])
     for k in np.flatnonzero(~short).tolist():
@@ -277,23 +283,44 @@ class Encoder:
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         find = self.v.prepare()["chunk"].findall
         split = [find(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        new = list({c for cs in split for c in cs if c not in self.cache})
+        seen: set[str] = set().union(*split)
+        new = [c for c in seen if c not in self.cache]
         if len(self.cache) + len(new) > self.kept:
             self.cache.clear()
-            new = list({c for cs in split for c in cs})
+            new = list(seen)
         self.cache.update(zip(new, encode_chunks(new, self.v), strict=True))
-        got = [np.frombuffer(b"".join([self.cache[c] for c in cs]), "<i4") for cs in split]
+        got = [np.frombuffer(b"".join(map(self.cache.__getitem__, cs)), "<i4") for cs in split]
         for c in new:
             if len(c) > 64:
                 del self.cache[c]
         return got
 
 
+_ENCODER: list[Encoder] = []
+
+
+def worker_encoder(v: Vocabulary) -> Encoder:
+    """The worker process's encoder: tasks that run in it one after another share what it keeps."""
+    if not _ENCODER or _ENCODER[0].v != v:
+        _ENCODER[:] = [Encoder(v)]
+    return _ENCODER[0]
+
+
+def decode_flat(flat: np.ndarray, offsets: np.ndarray, v: Vocabulary) -> list[str]:
+    """The text of each range of ids. Ids that are no piece (control ids, or out of range) give nothing, bytes that are no UTF-8 give U+FFFD."""
+    t = v.prepare()
+    top = len(t["show_size"]) - 1  # its last row is empty
+    ids = np.where((flat >= 0) & (flat < top), flat, top)
+    size = t["show_size"][ids]
+    ends = np.concatenate([[0], np.cumsum(size)])
+    data = t["show_bytes"][np.arange(int(ends[-1])) - np.repeat(ends[:-1] - t["show_start"][ids], size)].tobytes()
+    cuts = ends[offsets].tolist()
+    texts = [data[a:b].decode("utf-8", "replace") for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return [x[1:] if x[:1] == " " else x for x in texts]
+
+
 def decode_ids(ids: list[int], v: Vocabulary) -> str:
-    """The text; ids that are no piece (control ids, or out of range) give nothing, bytes that are no UTF-8 give U+FFFD."""
-    show = v.prepare()["show"]
-    out = b"".join([show.get(i, b"") for i in ids]).decode("utf-8", "replace")
-    return out[1:] if out[:1] == " " else out
+    return decode_flat(np.array(ids, np.int64), np.array([0, len(ids)]), v)[0]
 
 
 def _with(docs: DataFrame, name: str, kind: str) -> tuple[DataFrame, T.StructType]:
@@ -307,12 +334,12 @@ def encode(docs: DataFrame, v: Vocabulary, text: str = "text", out: str = "token
     place, names = docs.columns.index(text), schema.names
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(v)
+        encoder = worker_encoder(v)
         for batch in it:
             at, texts = 0, batch.column(place).to_pylist()
-            while at < len(texts):  # about a million characters at a time
+            while at < len(texts):  # about half a million characters at a time
                 to, size = at, 0
-                while to < len(texts) and (to == at or size + len(texts[to] or "") < 1 << 20):
+                while to < len(texts) and (to == at or size + len(texts[to] or "") < 1 << 19):
                     size += len(texts[to] or "")
                     to += 1
                 ids = encoder(texts[at:to])
@@ -333,7 +360,10 @@ def decode(docs: DataFrame, v: Vocabulary, ids: str = "token_ids", out: str = "d
         for whole in it:
             for at in range(0, len(whole), 500):
                 batch = whole.slice(at, 500)
-                texts = [decode_ids(i or [], v) for i in batch.column(place).to_pylist()]
+                column = batch.column(place)
+                sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+                flat = pc.fill_null(pc.list_flatten(column), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+                texts = decode_flat(flat, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), v)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=names)
 
     return docs.mapInArrow(run, schema)
