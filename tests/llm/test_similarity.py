@@ -71,3 +71,26 @@ def test_partial_prints_agree_as_often_as_sets_are_alike():
         a, b = (np.unique(np.append(both, rng.integers(0, 1 << 63, 20, np.uint64))) for _ in range(2))
         agree += sum(x == y for x, y in zip(simhash.partial_prints(a, 12), simhash.partial_prints(b, 12), strict=True))
     assert 0.35 < agree / 480 < 0.65  # about 0.8 cubed
+
+
+def edited(rng, base, edits):
+    """Replaces single words far apart, so that each costs five shingles."""
+    out = list(base)
+    for at in rng.sample(range(5, len(base) - 5, 6), edits):
+        out[at] = f"e{rng.randrange(10**9)}"
+    return " ".join(out)
+
+
+def test_star_of_edited_copies_equals_brute_force(spark):
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    rows = [(i, edited(rng, base, 5)) for i in range(400)] + [(400, " ".join(base))]  # 0.84 to the original, 0.71 to one another
+    passage = " ".join(f"p{i}" for i in range(150))
+    for g in range(150):  # documents of one long passage, each with one edited copy
+        own = [f"x{rng.randrange(10**6)}" for _ in range(150)]
+        rows += [(1000 + 2 * g, passage + " " + " ".join(own)), (1001 + 2 * g, passage + " " + edited(rng, own, 5))]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted(((r["doc_id"], r["component_id"]) for r in simhash.similar_components(df).collect()), key=str)
+    assert got == brute(rows)
+    assert sum(k == c for k, c in got) == 151

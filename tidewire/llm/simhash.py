@@ -329,19 +329,73 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.mapInArrow(keep, "a long, b long")
 
 
+def common_shingles(sets: DataFrame, texts: int, sample: int = 8192) -> tuple[np.ndarray, np.ndarray]:
+    """32-bit shingles that at least two of about `sample` sets have, sorted, and in how many: only the order of prefixes depends on them."""
+
+    def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            if len(batch):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.frombuffer(x.as_py(), "<i4") for x in batch.column(0)]))], names=["s"])
+
+    some = sets.where(F.pmod("th", F.lit(max(1, texts // sample))) == 0).dropDuplicates(["th"]).select("shingles")
+    found = some.mapInArrow(rows, "s int").groupBy("s").agg(F.count("*").alias("n")).where("n > 1").toPandas()
+    shingles = found["s"].to_numpy(np.int32).view(np.uint32)
+    order = np.argsort(shingles)
+    return shingles[order], found["n"].to_numpy(np.uint64)[order]
+
+
+def prefixes(sets: DataFrame, common: tuple[np.ndarray, np.ndarray], similarity: float) -> DataFrame:
+    """(th, n, prefix array<int>): the rarest shingles of each set, of which two sets of the similarity share at least one."""
+    spark = sets.sparkSession
+    held = spark.sparkContext.broadcast(common)
+
+    def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, counts = held.value
+        for batch in it:
+            sizes, out = [], []
+            for x in batch.column(1):
+                own = np.frombuffer(x.as_py(), "<u4")
+                rank = np.zeros(len(own), np.uint64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                    rank = np.where(known[at] == own, counts[at], np.uint64(0))
+                keys = np.sort(rank << np.uint64(32) | own.astype(np.uint64))
+                sizes.append(len(own))
+                out.append((keys[: len(own) - int(np.ceil(similarity * len(own) - 1e-6)) + 1] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(out, pa.list_(pa.int32()))], names=["th", "n", "prefix"])
+
+    return sets.select("th", "shingles").mapInArrow(rows, "th long, n int, prefix array<int>")
+
+
+def prefix_pairs(listed: DataFrame, similarity: float) -> DataFrame:
+    """(th, root, n, pos, s) -> (a, b): all pairs of different roots that can have the similarity, by their first common prefix shingle.
+
+    The lesser set needs only the shorter prefix of sets that meet no smaller ones. At the first common shingle nothing
+    before it is shared, so what is left of both must hold the least overlap.
+    """
+    mixed = listed.groupBy("s").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("s")
+    met = cut(listed.join(mixed, "s", "left_semi"), "prefix-groups")
+    lesser = met.where(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * (2 * similarity / (1 + similarity)) - 1e-6))
+    other = lesser.select("s", *(F.col(c).alias(f"{c}2") for c in ("th", "root", "n", "pos")))
+    fits = (F.col("root") != F.col("root2")) & (F.col("n2") <= F.col("n")) & (F.col("n2") >= similarity * F.col("n") - 1e-6)
+    fits &= F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2")) >= similarity / (1 + similarity) * (F.col("n") + F.col("n2")) - 1e-6
+    return met.join(other, (met["s"] == other["s"]) & fits).select(F.least("th", "th2").alias("a"), F.greatest("th", "th2").alias("b")).distinct()
+
+
 def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 12, max_bits: int = 3, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, component_id) for every row of docs: the least key among documents joined by links of Jaccard similarity.
 
-    64 bits within max_bits find only the closest copies, so candidates are the pigeonhole links of whole fingerprints
-    and the agreements of partial ones: sets of similarity 0.8 agree on one of 12 partial fingerprints in 99.98 of 100
-    cases. In each group that agrees two members, the least of two random orders, are compared with all: linear however
-    large the group, and each document meets other hubs in each band. All candidates are verified on whole sets.
+    First most copies are joined at linear cost: candidates are the pigeonhole links of whole fingerprints (within
+    max_bits) and, in each group that agrees on a partial fingerprint, all members with two hubs, the least of two random
+    orders of the band. Then an exact route: sets that can be similar share a shingle of their prefixes of rarest
+    shingles, and all such pairs that aren't joined yet are candidates. All candidates are verified on whole sets, so the
+    components are those of all pairs.
 
     Texts without words are no copies of anything. Null keys and repeated rows are kept; a null key never names a component.
     """
     table = cut(shingle_sets(docs, words, bands, text, key), "shingle-sets")
     each = cut(table.where(F.length("shingles") > 0).groupBy("th").agg(F.min("k").alias("least"), F.first("fp").alias("fp"), F.first("prints").alias("prints")), "texts")
-    ranks = [F.struct(F.xxhash64("th", F.lit(s)).alias("h"), "th") for s in (1, 2)]
+    ranks = [F.struct(F.xxhash64("th", "band", F.lit(s)).alias("h"), "th") for s in (1, 2)]
     listed = each.select("th", F.posexplode("prints").alias("band", "print"))
     groups = listed.groupBy("band", "print").agg(F.count("*").alias("n"), *(F.min(r).alias(f"h{i}") for i, r in enumerate(ranks))).where("n > 1")
     met = cut(listed.join(groups.select("band", "print", F.col("h0.th").alias("p"), F.col("h1.th").alias("q")), ["band", "print"]).select("th", "p", "q"), "met")
@@ -354,13 +408,27 @@ def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     same = each.join(by_print.where("n > 1").select("fp", F.col("th").alias("hub")), "fp").select("th", "hub")
     all_pairs = hubs.unionAll(wide).unionAll(same).where("th <> hub")
     pairs = cut(all_pairs.select(F.least("th", "hub").alias("a"), F.greatest("th", "hub").alias("b")).distinct(), "pairs")
-    wanted = cut(pairs.select(F.col("a").alias("th")).unionAll(pairs.select(F.col("b").alias("th"))).distinct(), "wanted")
-    # one row of each set: that of the text's least key; sets of single texts aren't moved
-    owners = cut(each.join(wanted, "th").select("th", F.col("least").alias("k")), "owners")
-    rows = table.select("k", "th", "shingles")
-    few = F.broadcast(owners) if owners.count() <= 1_000_000 else owners
-    sets = cut(rows.join(few, [rows["th"] == owners["th"], rows["k"].eqNullSafe(owners["k"])], "left_semi").dropDuplicates(["th"]).select("th", "shingles"), "sets")
-    roots = components(cut(verified(pairs, sets, similarity), "verified")).withColumnRenamed("node", "th")
+    count = each.count()
+
+    def joined(pairs: DataFrame, name: str) -> DataFrame:
+        wanted = cut(pairs.select(F.col("a").alias("th")).unionAll(pairs.select(F.col("b").alias("th"))).distinct(), f"wanted-{name}")
+        # one row of each set: that of the text's least key; sets of single texts aren't moved
+        owners = cut(each.join(wanted, "th").select("th", F.col("least").alias("k")), f"owners-{name}")
+        rows = table.select("k", "th", "shingles")
+        few = F.broadcast(owners) if owners.count() <= 1_000_000 else owners
+        sets = cut(rows.join(few, [rows["th"] == owners["th"], rows["k"].eqNullSafe(owners["k"])], "left_semi").dropDuplicates(["th"]).select("th", "shingles"), f"sets-{name}")
+        return cut(verified(pairs, sets, similarity), f"verified-{name}")
+
+    first = joined(pairs, "hubs")
+    near = each.select("th").join(components(first).withColumnRenamed("node", "th"), "th", "left").select("th", F.coalesce("root", "th").alias("root"))
+    owned = each.select("th", F.col("least").alias("k"))
+    few = F.broadcast(owned) if count <= 1_000_000 else owned
+    whole = table.where(F.length("shingles") > 0).select("k", "th", "shingles")
+    own = whole.join(few, [whole["th"] == owned["th"], whole["k"].eqNullSafe(owned["k"])], "left_semi")
+    short = prefixes(own, common_shingles(own, count), similarity).dropDuplicates(["th"])
+    rare = cut(short.join(near, "th").select("th", "root", "n", F.posexplode("prefix").alias("pos", "s")), "prefixes")
+    second = joined(cut(prefix_pairs(rare, similarity), "prefix-pairs"), "prefixes")
+    roots = components(first.unionAll(second)).withColumnRenamed("node", "th")
     rooted = cut(each.join(roots, "th", "left").select("th", "least", F.coalesce("root", "th").alias("root")), "rooted")
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     by_text = cut(rooted.join(named, "root").select("th", "component_id"), "named")
