@@ -70,3 +70,23 @@ def test_plan_has_no_python(spark):
     df = spark.createDataFrame(FILES, "path string, text string, licence string")
     plan = df.select(L.own_licence(df["text"]))._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+STATED = [
+    ("All rights reserved.", "proprietary"),
+    ("A long first line of prose.\nAll rights reserved.\nMore prose.", "proprietary"),
+    ("This document is released under the MIT License by its authors in 2021.", "MIT"),
+    ("Copyright (c) 2021 Jane Doe. Licensed under CC BY 4.0.", "CC-BY-4.0"),
+    ("SPDX-License-Identifier: Apache-2.0", "Apache-2.0"),
+    ("Prose before it. This work is licensed under\n# the GNU General Public\n# License, version 3. Prose behind it.", "GPL-3.0"),
+    ("Copyright 2021 Jane Doe. All rights reserved.\nLicensed under the Apache License, Version 2.0.", "Apache-2.0"),
+    ("Permission is hereby granted, free of charge, to any\nperson obtaining a copy of this software and\nassociated documentation files", "MIT"),
+    ("The licence of the bridge was renewed and all copyright questions were left open.", None),
+    ("Rights of all passengers are reserved for the ferry.", None),
+]
+
+
+def test_statements_in_running_text(spark):
+    df = spark.createDataFrame([(f"d/{i}/LICENSE" if "hereby" in t else f"d/{i}/f.txt", t) for i, (t, _) in enumerate(STATED)], "path string, text string")
+    got = {r["path"].split("/")[1]: r["licence"] for r in L.scan(df).collect()}
+    assert [got[str(i)] for i in range(len(STATED))] == [want for _, want in STATED]

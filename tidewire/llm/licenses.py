@@ -1,8 +1,8 @@
 """License scans in DataFrame functions only: sparse TF-IDF cosine to templates, then inheritance from ancestor directories.
 
-A file's header lines are the lines that name a licence, copyright or permission. Each line's TF-IDF vector is compared
-with the templates' (document frequencies are those of the templates; a word in no template weighs the most); the best
-line and template at or above a threshold give the file's own licence. A file of a licence file's name, or one that is
+A file's header lines are the lines that name a licence, copyright or permission. The TF-IDF vectors of each such line, run
+of such lines and sentence (of a licence file, the whole text too) are compared with the templates' (document frequencies are those of the templates; a word in no template weighs the most); the best
+part and template at or above a threshold give the file's own licence. Short statements also count inside running text. A file of a licence file's name, or one that is
 little more than a licence statement, speaks for its directory; of several the best match (then the first path) counts.
 Files without a licence of their own take that of the nearest ancestor directory that has one, by joins on paths.
 """
@@ -36,7 +36,19 @@ TEMPLATES = (
     ("CC0-1.0", "permissive", "To the extent possible under law, the author has waived all copyright under CC0 1.0"),
     ("proprietary", "restricted", "Copyright. All rights reserved. Unauthorized copying of this file is strictly prohibited"),
 )
+#: Short statements that hold wherever their words stand in a text, one after the other.
+STATEMENTS = (
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0"), ("MIT", "Released under the MIT License"), ("MIT", "Licensed under the MIT License"),
+    ("GPL-3.0", "Licensed under the GNU General Public License, version 3"), ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3"),
+    ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3"), ("MPL-2.0", "subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("CC-BY-NC-4.0", "under CC BY-NC 4.0"), ("CC-BY-SA-4.0", "under CC BY-SA 4.0"), ("CC-BY-4.0", "under CC BY 4.0"), ("CC0-1.0", "under CC0 1.0"),
+    *((n, f"SPDX-License-Identifier: {n}") for n in ("Apache-2.0", "MIT", "BSD-3-Clause", "GPL-3.0", "LGPL-3.0", "AGPL-3.0", "MPL-2.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "CC-BY-4.0", "CC0-1.0")),
+    ("proprietary", "Unauthorized copying of this file is strictly prohibited"),
+)
+#: Stands in permissive headers too, so it counts only where nothing else is found.
+RESERVED = ("proprietary", "All rights reserved")
 HEADER = "licen[sc]e|copyright|permission|permitted|redistribut|gnu |public domain|all rights reserved|cc0|cc by|spdx"
+MORE = r"|unauthorized\s+copying|all\s+rights\s+reserved|public\s+domain|cc\s+by"
 FILE_NAME = "(?i)^(un)?(licen[sc]e|copying|notice)([.-].*)?$"
 THRESHOLD = 0.6
 STATEMENT_WORDS = 40
@@ -65,8 +77,39 @@ def _map(values: dict[str, float]) -> Column:
 
 def own_licence(text: Column) -> Column:
     """struct(score, template): the best cosine over the header lines and its template's place, (0, -1) without a header."""
+    return _best(text, F.filter(F.split(text, "\n"), lambda x: F.lower(x).rlike(HEADER)), HEADER)
+
+
+def found_licence(text: Column, whole: Column) -> Column:
+    """struct(score, template): the best over header lines, runs of header lines, sentences and (where `whole`) the text.
+
+    Words of STATEMENTS in a row score 1. RESERVED counts only where nothing else reaches THRESHOLD.
+    """
+    header = HEADER + MORE
+    is_header = lambda x: F.lower(x).rlike(header)
+    lines = F.split(text, "\n")
+    runs = F.split(F.array_join(F.transform(lines, lambda x: F.when(is_header(x), x).otherwise(F.lit("\x01"))), "\n"), "\x01")
+    sentences = F.split(F.regexp_replace(text, r"\s*\n[\s#*/;-]*", " "), r"(?<=[.!?])\s+(?=[\p{Lu}(])")
+    segments = F.filter(F.array_distinct(F.concat(lines, runs, sentences, F.when(whole, F.array(text)).otherwise(F.array().cast("array<string>")))), is_header)
+    best = _best(text, segments, header)
+    said = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "), F.lit(" "))
+    says = lambda statement: F.contains(said, F.lit(f" {' '.join(_words(statement))} "))
+    place: dict[str, int] = {}
+    for k, (name, _, _) in enumerate(TEMPLATES):
+        place.setdefault(name, k)
+    result = lambda name: F.struct(F.lit(1.0).alias("score"), F.lit(place[name]).alias("template"))
+    stated = F.coalesce(*(F.when(says(t), result(n)) for n, t in STATEMENTS))
+
+    # one evaluation of the cosines; a statement word for word beats a lesser cosine
+    def choose(b: Column) -> Column:
+        return F.when((b["score"] < 1) & stated.isNotNull(), stated).when((b["score"] < THRESHOLD) & says(RESERVED[1]), result(RESERVED[0])).otherwise(b)
+
+    none = F.struct(F.lit(0.0).alias("score"), F.lit(-1).alias("template"))
+    return F.when(F.lower(text).rlike(header), F.transform(F.array(best), choose)[0]).otherwise(none)
+
+
+def _best(text: Column, segments: Column, header: str) -> Column:
     idf, vectors, other = weights()
-    lines = F.filter(F.split(text, "\n"), lambda x: F.lower(x).rlike(HEADER))
 
     def judged(line: Column) -> Column:
         words = F.filter(F.split(F.lower(line), "[^a-z0-9]+"), lambda w: w != "")
@@ -81,7 +124,7 @@ def own_licence(text: Column) -> Column:
         return F.transform(F.array(terms), best)[0]
 
     none = F.struct(F.lit(0.0).alias("score"), F.lit(1).alias("k"))
-    found = F.when(F.lower(text).rlike(HEADER), F.coalesce(F.array_max(F.transform(lines, judged)), none)).otherwise(none)
+    found = F.when(F.lower(text).rlike(header), F.coalesce(F.array_max(F.transform(segments, judged)), none)).otherwise(none)
     return F.struct(found["score"].alias("score"), (-found["k"]).alias("template"))
 
 
@@ -97,7 +140,8 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", threshold: fl
     sets = F.array(*(F.lit(f) for _, f, _ in TEMPLATES))
     n_words = F.size(F.split(F.trim(F.coalesce(F.col(text), F.lit(""))), r"\s+"))
     place = F.col(f"`{path}`")
-    found = files.withColumn("__own", own_licence(F.col(text))).withColumns({"__has": F.col("__own.score") >= threshold, "__dir": F.regexp_extract(place, "^(.*)/[^/]*$", 1)})
+    named = F.coalesce(F.regexp_extract(place, "[^/]*$", 0).rlike(FILE_NAME), F.lit(False))
+    found = files.withColumn("__own", found_licence(F.col(text), named)).withColumns({"__has": F.col("__own.score") >= threshold, "__dir": F.regexp_extract(place, "^(.*)/[^/]*$", 1)})
     scanned = cut(
         found.select(
             *(F.col(f"`{c}`") for c in kept), "__dir", F.when(F.col("__has"), F.get(names, F.col("__own.template"))).alias("licence"), F.col("__own.score").alias("licence_score"),
