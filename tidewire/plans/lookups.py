@@ -79,10 +79,9 @@ def fold_ledger(spark, d):
 
 
 def cosine_pairs_threshold(spark, d):
-    """Pairs of one label and near keys with a cosine of at least 0.15: an equality join on label and key block."""
-    v = table(spark, d, "embeddings").select("vec_id", "label", "embedding", F.floor(F.col("vec_id") / 10).alias("b"))
-    p = v.join(v.select(F.col("vec_id").alias("other"), "label", F.col("embedding").alias("e2"), "b"), ["label", "b"]).where("vec_id < other")
-    return p.select("vec_id", "other", F.round(D.cosine(F.col("embedding"), F.col("e2")), 6).alias("cosine")).where("cosine >= 0.15")
+    """All pairs of vectors with a cosine of at least 0.15."""
+    p = D.cosine_pairs(table(spark, d, "embeddings"), "vec_id", "embedding", 0.15 - 1e-6)
+    return p.select(F.col("left").alias("vec_id"), F.col("right").alias("other"), F.round("cosine", 6).alias("cosine")).where("cosine >= 0.15")
 
 
 def greedy_embedding_dedup(spark, d):
