@@ -29,3 +29,31 @@ def test_cosine_pairs_equal_brute_force(spark, tables):
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
     tables["embeddings"] = df
     assert {(r["vec_id"], r["other"]) for r in lookups.cosine_pairs_threshold(spark, "").collect()} == {k for k, v in want.items() if round(v, 6) >= 0.15}
+
+
+def docs(spark, texts):
+    return spark.createDataFrame([(i, t, "en", "s", 100) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars int")
+
+
+def test_topics_of_whole_texts(spark, tables):
+    tables["documents"] = docs(spark, ["a b " * 200 + "schule"])
+    assert [r["topics"] for r in contracts.topics_by_rule(spark, "").collect()] == ["german"]
+
+
+def test_titles_are_whole_first_lines(spark, tables):
+    tables["documents"] = docs(spark, ["a" * 40 + " one\nx", "a" * 40 + " two\ny", "a" * 40 + " one\nz"])
+    assert {r["doc_id"] for r in lookups.or_key_dedup_fold(spark, "").collect() if r["kept"]} == {0, 1}
+    tables["documents"] = docs(spark, ["a" * 60 + "0123456789" * 10, "a" * 60 + "ZYXWVUTSRQ" * 10])
+    assert {r["doc_id"] for r in lookups.greedy_title_dedup(spark, "").collect() if r["kept"]} == {0, 1}
+
+
+def test_whole_questions(spark, tables):
+    said = ["b" * 30 + " first?", "b" * 30 + " second?", "b" * 30 + " first?"]
+    tables["conversations"] = spark.createDataFrame([(i, 1, "user", t) for i, t in enumerate(said)], "conv_id long, turn int, role string, text string")
+    assert sorted((r["conv_id"], r["question"]) for r in measures.open_questions_first(spark, "").collect()) == [(0, said[0]), (1, said[1])]
+
+
+def test_all_tokens_are_aliases(spark, tables):
+    tables["benchmark"] = spark.createDataFrame([(1, "station reactor turbine harbour")], "item_id long, text string")
+    tables["documents"] = docs(spark, ["a harbour"])
+    assert [r["entity_id"] for r in lookups.entity_mentions(spark, "").collect()] == ["e-harbour"]

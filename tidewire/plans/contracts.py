@@ -58,7 +58,7 @@ def calendar_days(spark, d):
 
 
 def topics_by_rule(spark, d):
-    i = N.infer(F.array().cast("array<string>"), F.lower(F.substring("text", 1, 400)), [(k, list(v)) for k, v in TOPICS], 3)
+    i = N.infer(F.array().cast("array<string>"), F.lower("text"), [(k, list(v)) for k, v in TOPICS], 3)
     return table(spark, d, "documents").select("doc_id", F.array_join(i["values"], ",").alias("topics"), i["source"].alias("source"))
 
 

@@ -90,12 +90,12 @@ def greedy_embedding_dedup(spark, d):
 
 
 def greedy_title_dedup(spark, d):
-    docs = table(spark, d, "documents").select("source", "lang", "doc_id", F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 60).alias("title"), "n_chars")
+    docs = table(spark, d, "documents").select("source", "lang", "doc_id", F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), "n_chars")
     return D.greedy_titles(docs, ["source", "lang"], "doc_id", "title", "n_chars")
 
 
 def or_key_dedup_fold(spark, d):
-    docs = table(spark, d, "documents").select("source", "doc_id", F.md5("text").alias("url"), F.md5(F.substring("text", 1, 40)).alias("title"))
+    docs = table(spark, d, "documents").select("source", "doc_id", F.md5("text").alias("url"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"))
     return D.or_keys(docs, ["source"], "doc_id", ["url", "title"], ["doc_id"])
 
 
@@ -268,7 +268,7 @@ def union_by_name_feeds(spark, d):
 
 
 def entity_mentions(spark, d):
-    aliases = table(spark, d, "benchmark").select(F.explode(F.slice(_tokens("text", 6), 1, 3)).alias("alias")).distinct().withColumn("rank", F.length("alias").cast("long")).withColumn("entity_id", F.concat(F.lit("e-"), "alias"))
+    aliases = table(spark, d, "benchmark").select(F.explode(_tokens("text", 6)).alias("alias")).distinct().withColumn("rank", F.length("alias").cast("long")).withColumn("entity_id", F.concat(F.lit("e-"), "alias"))
     m = J.entity_mentions(table(spark, d, "documents"), aliases, "doc_id", "text")
     return m.groupBy("entity_id").agg(F.count("*").alias("docs"))
 

@@ -173,7 +173,7 @@ def briefing_rollup(spark, d):
 
 def open_questions_first(spark, d):
     c = table(spark, d, "conversations").where(F.col("text").contains("?") | (F.col("role") == "user"))
-    return A.first_by(c.select("conv_id", "turn", F.substring("text", 1, 30).alias("question")), ["question"], [F.asc("conv_id"), F.asc("turn")])
+    return A.first_by(c.select("conv_id", "turn", F.col("text").alias("question")), ["question"], [F.asc("conv_id"), F.asc("turn")])
 
 
 def weekly_counters(spark, d):
