@@ -57,3 +57,9 @@ def test_all_tokens_are_aliases(spark, tables):
     tables["benchmark"] = spark.createDataFrame([(1, "station reactor turbine harbour")], "item_id long, text string")
     tables["documents"] = docs(spark, ["a harbour"])
     assert [r["entity_id"] for r in lookups.entity_mentions(spark, "").collect()] == ["e-harbour"]
+
+
+def test_pair_features_read_all_words(spark, tables):
+    opening = "one two three four five six seven eight "
+    tables["documents"] = docs(spark, [opening + "transformer harbour", "ein zwei drei vier funf sechs sieben acht transformation harbour"])
+    assert [(r["doc_id"], r["shared"], r["jaccard"]) for r in lookups.pair_features(spark, "").collect()] == [(0, 2, round(2 / 18, 6))]

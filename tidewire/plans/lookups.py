@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tidewire.functions import text as X
 from tidewire.operators import cluster as C
 from tidewire.operators import dedup as D
 from tidewire.operators import joins as J
@@ -106,7 +107,7 @@ def story_window_groups(spark, d):
 
 def pair_features(spark, d):
     """Token Jaccard of neighbouring documents."""
-    docs = table(spark, d, "documents").select("doc_id", F.slice(_tokens("text", 2), 1, 8).alias("tokens"))
+    docs = table(spark, d, "documents").select("doc_id", X.words(F.col("text")).alias("tokens"))
     p = docs.join(docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("tokens").alias("next")), "doc_id")
     return p.select("doc_id", F.round(D.jaccard(F.col("tokens"), F.col("next")), 6).alias("jaccard"), F.size(F.array_intersect("tokens", "next")).alias("shared"))
 
