@@ -63,3 +63,8 @@ def test_pair_features_read_all_words(spark, tables):
     opening = "one two three four five six seven eight "
     tables["documents"] = docs(spark, [opening + "transformer harbour", "ein zwei drei vier funf sechs sieben acht transformation harbour"])
     assert [(r["doc_id"], r["shared"], r["jaccard"]) for r in lookups.pair_features(spark, "").collect()] == [(0, 2, round(2 / 18, 6))]
+
+
+def test_candidate_pairs_of_all_priorities(spark, tables):
+    tables["orders"] = spark.sql("select * from values (1, 7, '2020-01-01', '1-URGENT', 'O'), (2, 7, '2020-01-05', '5-LOW', 'O'), (3, 7, '2020-01-09', '5-LOW', 'F') t(o_orderkey, o_custkey, o_orderdate, o_orderpriority, o_orderstatus)")
+    assert sorted((r["left"], r["right"]) for r in lookups.candidate_pairs_scored(spark, "").collect()) == [(1, 2), (1, 3), (2, 3)]

@@ -113,7 +113,7 @@ def pair_features(spark, d):
 
 
 def candidate_pairs_scored(spark, d):
-    o = table(spark, d, "orders").where("o_orderpriority like '1%'").select("o_orderkey", F.to_date("o_orderdate").alias("day"), F.array(F.col("o_custkey").cast("string")).alias("blocks"), F.array("o_orderstatus", "o_orderpriority").alias("tags"), F.split(F.concat_ws(" ", "o_orderstatus", F.year("o_orderdate")), " ").alias("tokens"))
+    o = table(spark, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"), F.array(F.col("o_custkey").cast("string")).alias("blocks"), F.array("o_orderstatus", "o_orderpriority").alias("tags"), F.split(F.concat_ws(" ", "o_orderstatus", F.year("o_orderdate")), " ").alias("tokens"))
     return C.score_pairs(C.candidate_pairs(o, "o_orderkey", "day", "blocks"), o, "o_orderkey", "tokens", "tags").withColumn("token_ratio", F.round("token_ratio", 6))
 
 
