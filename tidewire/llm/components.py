@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import cut
+from tidewire.llm.common import cut, free
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -23,18 +23,23 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for r in range(rounds):
         if left.isEmpty():
             break
-        rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(r)).alias("h"), F.col(c).alias("n"))
+        rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(str(r))).alias("h"), F.col(c).alias("n"))  # noqa: E731 a text, so that every round has the same generated code
         both = left.select(F.col("a").alias("x"), F.least(rank("a"), rank("b")).alias("y")).unionAll(left.select(F.col("b").alias("x"), F.least(rank("a"), rank("b")).alias("y")))
         to = cut(both.groupBy("x").agg(F.min("y").alias("y")).select("x", F.col("y.n").alias("y")), "pointers")
-        left = cut(
+        contracted = cut(
             left.join(to.select(F.col("x").alias("a"), F.col("y").alias("p")), "a").join(to.select(F.col("x").alias("b"), F.col("y").alias("q")), "b")
             .select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).where("a <> b").distinct(),
             "edges",
         )
+        free(left)
+        left = contracted
         if labels is None:
-            labels = to.select(F.col("x").alias("node"), F.col("y").alias("root"))
+            labels = cut(to.select(F.col("x").alias("node"), F.col("y").alias("root")), "labels")
         else:
-            labels = cut(labels.join(to, labels["root"] == to["x"], "left").select("node", F.coalesce("y", "root").alias("root")), "labels")
+            renamed = cut(labels.join(to, labels["root"] == to["x"], "left").select("node", F.coalesce("y", "root").alias("root")), "labels")
+            free(labels)
+            labels = renamed
+        free(to)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     if labels is None:
