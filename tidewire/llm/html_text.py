@@ -4,7 +4,13 @@ Pass 1 scores the containers of each page (text outside links, weighed by tag an
 generalised tag-class path of the best one; votes are summed per host in Spark. Pass 2 extracts from the containers that
 have the host's winning path, or from the page's own best container where it has none with text.
 
-Pages are read once into flat lists, without recursion, so deep nesting and unclosed tags are harmless.
+A page's best container gives way to the one around it while that holds enough other running text, so an article of
+several blocks stays whole. Pages are read once into flat lists, without recursion and in time linear in their length:
+places from which a tag is known to have no end are marked, so malformed pages cost no more than others. A "<" that
+opens no tag is text, as is a tag that the page's end cuts off.
+
+Null and empty pages give an empty text, null urls have no host and no vote, equal scores go to the first container and
+equal votes to the path that sorts last. Rows, repeated ones too, and other columns are kept. No table is too small.
 """
 
 from __future__ import annotations
@@ -18,13 +24,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewire.llm.common import cut
+from tidewire.llm.common import cut, without
 from tidewire.llm.url_filter import split_url
 
 #: Hosts up to this number get their winning paths by broadcast (about 100 bytes each); beyond it by a shuffle join.
 BROADCAST_HOSTS = 100_000
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>=][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+|(?=[\s>])))?+|=)*+)>""")
+_NAME = re.compile(r"</?[a-zA-Z][^\s/>]*+")
+_SEPARATORS = re.compile(r"[\s/]*+")
+_ONE = re.compile(r"""([^\s/>=][^\s/>=]*+|=)(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+|(?=[\s>])))?+""")
+_ATTRIBUTE = re.compile(r"""([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"'][^\s>]*+)))?+""")
 _RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "xmp", "noembed", "noframes"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _BLOCK = {
@@ -46,14 +55,67 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _DIGITS = re.compile(r"\d+")
 
 
+#: A container gives way to the one around it if that has at least this many other characters of running text, and this share of its own.
+OTHER_TEXT, OTHER_SHARE = 25, 0.1
+
+
+class Tags:
+    """The tags of a source, found in time linear in its length."""
+
+    def __init__(self, source: str):
+        self.source, self.dead, self.no_end = source, None, len(source)
+
+    def at(self, start: int) -> re.Match | None:
+        """The tag that begins at this "<", if it ends anywhere."""
+        if self.dead is None:
+            if m := _TAG.match(self.source, start):
+                return m
+            if not _NAME.match(self.source, start):
+                return None
+            self.dead = bytearray(len(self.source) + 1)
+        return _TAG.match(self.source, start) if self._ends(start) else None
+
+    def _ends(self, start: int) -> bool:
+        """Whether a tag begins here and ends. If not, marks all places of its names and separators: a tag that begins there meets the same fate."""
+        if self.dead[start] or not (m := _NAME.match(self.source, start)):
+            return False
+        seen, at = [(start, m.end())], m.end()
+        while at < len(self.source) and not self.dead[at]:
+            after = _SEPARATORS.match(self.source, at).end()
+            if self.source.startswith(">", after):
+                return True
+            seen.append((at, after))
+            if not (m := _ONE.match(self.source, after)):
+                break
+            seen.append((after, m.end(1)))
+            at = m.end()
+        for a, b in seen:
+            self.dead[a:b] = b"\1" * (b - a)
+        return False
+
+    def declaration(self, start: int) -> int:
+        """The end of the comment, CDATA section, declaration or instruction that begins here; start if there is none."""
+        for opening, closing in (("<!--", "-->"), ("<![CDATA[", "]]>")):
+            if self.source.startswith(opening, start):
+                end = self.source.find(closing, start + len(opening))
+                return len(self.source) if end < 0 else end + len(closing)
+        if self.source[start + 1 : start + 2] in ("!", "?") and start < self.no_end:
+            end = self.source.find(">", start)
+            if end >= 0:
+                return end + 1
+            self.no_end = start
+        return start
+
+
 class Page:
-    """tag, parent, label, skip, link and container of each element; texts: (element, block, text) in page order."""
+    """tag, parent, label, skip, link, container and article of each element; texts: (element, block, text) in page order."""
 
     def __init__(self, source: str):
-        self.parent, self.label, self.skip, self.link, self.container, self.tag = [-1], [""], [False], [False], [0], [""]
+        self.parent, self.label, self.skip, self.link, self.container, self.tag, self.article = [-1], [""], [False], [False], [0], [""], [False]
         self.texts: list[tuple[int, int, str]] = []
         stack, block, at, n = [0], 0, 0, len(source)
         open_count: dict[str, int] = {}
+        tags = Tags(source)
 
         def close(k: int) -> None:
             nonlocal block
@@ -63,19 +125,22 @@ class Page:
             del stack[k:]
 
         while at < n:
-            m = _TOKEN.search(source, at)
-            start = m.start() if m else n
+            start = source.find("<", at)
+            start = n if start < 0 else start
             if start > at:
                 self.texts.append((stack[-1], block, source[at:start]))
-            if not m:
+            if start == n:
                 break
-            at = m.end()
-            if m[2] is None:
-                if m[0] == "<":
+            m = tags.at(start)
+            if m is None:
+                at = tags.declaration(start)
+                if at == start:
                     self.texts.append((stack[-1], block, "<"))
-                elif m[0].startswith("<![CDATA["):
-                    self.texts.append((stack[-1], block, m[0][9:].removesuffix("]]>")))
+                    at += 1
+                elif source.startswith("<![CDATA[", start):
+                    self.texts.append((stack[-1], block, source[start + 9 : at].removesuffix("]]>")))
                 continue
+            at = m.end()
             tag = m[2].lower()
             if m[1]:
                 if open_count.get(tag, 0) > 0:
@@ -108,10 +173,14 @@ class Page:
             label = tag + "".join(sorted("." + _DIGITS.sub("#", x) for x in set(names.get("class", "").split())))
             said = {w.lower() for w in _WORDS.findall(" ".join(names.get(a, "") for a in ("class", "id", "role")))}
             hidden = "hidden" in names or names.get("aria-hidden") == "true" or "display:none" in names.get("style", "").replace(" ", "")
+            own = self.article[up]
+            if own:  # an article's own head is part of it
+                said.discard("header")
+            self.article.append(own or tag == "article")
             self.parent.append(up)
             self.tag.append(tag)
             self.label.append(label)
-            self.skip.append(self.skip[up] or tag in _DROPPED or tag not in _KEPT and (hidden or bool(said & _BOILERPLATE)))
+            self.skip.append(self.skip[up] or tag in _DROPPED and not (own and tag == "header") or tag not in _KEPT and (hidden or bool(said & _BOILERPLATE)))
             self.link.append(self.link[up] or tag == "a")
             self.container.append(i if tag in _CONTAINER else self.container[up])
             if tag in _RAW:
@@ -143,7 +212,23 @@ class Page:
             words = {w.lower() for w in _WORDS.findall(self.label[c])}
             scores[c] *= 2.0 if words & _HINT else 1.0
         c = min(scores, key=lambda c: (-scores[c], c), default=0)
-        return c, scores.get(c, 0.0)
+        score = scores.get(c, 0.0)
+        return (self._around(c) if score else c), score
+
+    def _around(self, c: int) -> int:
+        """c, or the container around it that holds enough other running text; never beyond an article or main element."""
+        total = [0] * len(self.parent)  # characters below each element, less those of links
+        for i, _, text in self.texts:
+            if not self.skip[i]:
+                total[i] += len(text.strip()) * (-1 if self.link[i] else 1)
+        for i in range(len(total) - 1, 0, -1):
+            total[self.parent[i]] += total[i]
+        at = c
+        while at > 0 and self.tag[at] not in ("article", "main", "body"):
+            at = self.container[self.parent[at]]
+            if total[at] - total[c] >= max(OTHER_TEXT, OTHER_SHARE * total[c]):
+                c = at
+        return c
 
     def text(self, roots: set[int]) -> str:
         inside = [False] * len(self.parent)
@@ -203,7 +288,7 @@ def vote(pages: DataFrame, url: str = "url", source: str = "html") -> DataFrame:
 def extract_text(pages: DataFrame, url: str = "url", source: str = "html", out: str = "text") -> DataFrame:
     """Adds the main text of every row's whole page; empty if there is none. Null html is empty, a null url has no host
     and so no vote. Rows are kept, repeated ones too; a column of the new name is replaced."""
-    pages = pages.select(*(F.col(f"`{c}`") for c in pages.columns if c.lower() != out))
+    pages = without(pages, out)
     winners = cut(vote(pages, url, source), "paths")
     if winners.count() <= BROADCAST_HOSTS:
         winners = F.broadcast(winners)
@@ -223,5 +308,6 @@ def extract_text(pages: DataFrame, url: str = "url", source: str = "html", out:
 
 
 def op6_html_text(spark, sf_dir: str) -> DataFrame:
+    """Every page with its main text; see extract_text for nulls, repeated rows and malformed pages."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     return extract_text(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
