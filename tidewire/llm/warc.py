@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import cut, partitions, scratch
+from tidewire.llm.common import cut, free, partitions, remove, scratch
 
 #: The field lines of the two ARC versions and the revisit profile.
 ARC_FIELDS = {
@@ -326,14 +326,34 @@ def read_warc(files: DataFrame) -> DataFrame:
     return files.repartition(n, "file").mapInArrow(run, "record_id string, record_type string, url string, page_id long, payload_bytes long, payload_digest string, refers_to_id string, html string")
 
 
-def archive(spark: SparkSession, pages: DataFrame, revisit_from: int = 0) -> DataFrame:
-    """Pages -> ARC -> WARC (file); repeated rows, null keys and empty payloads get records of their own."""
-    index = cut(index_arc(write_arc(pages, scratch(spark, "arc"))), "arc-index")
-    return convert_arc(choose_originals(index, revisit_from), scratch(spark, "warc"))
+def archive(spark: SparkSession, pages: DataFrame, revisit_from: int = 0, folder: str | None = None) -> DataFrame:
+    """Pages -> ARC -> WARC files below folder, else below a scratch folder (file); the ARC files are deleted once they are converted.
+
+    Repeated rows, null keys and empty payloads get records of their own; a null url is "-"; other columns of the pages
+    are not archived, whatever their names; an empty table gives no files.
+    """
+    legacy = scratch(spark, "arc")
+    files = write_arc(pages, legacy)
+    index = cut(index_arc(files), "arc-index")
+    out = convert_arc(choose_originals(index, revisit_from), folder or scratch(spark, "warc"))
+    free(files, index)
+    remove(spark, legacy)
+    return out
 
 
 def op5_warc(spark, sf_dir: str) -> DataFrame:
-    records = read_warc(archive(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"))).drop("html", "url")
-    records = cut(records, "records")
-    originals = records.where("record_type = 'response'").select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"))
-    return records.join(originals, "refers_to_id", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    """Every page by way of ARC and WARC files, which are deleted once they are read back.
+
+    Null html has an empty payload; a null page_id stays null and is revisited only where all equal payloads have none.
+    Rows that repeat revisit one of them. Payloads of any length are read record by record.
+    """
+    folder = scratch(spark, "warc")
+    files = archive(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"), folder=folder)
+    records = cut(read_warc(files).drop("html", "url"), "records")
+    free(files)
+    remove(spark, folder)
+    originals = records.where("record_type = 'response'")
+    # only revisits are joined, so that no null key gathers all responses
+    revisits = records.where("record_type = 'revisit'").join(originals.select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to")), "refers_to_id", "left")
+    columns = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return originals.withColumn("refers_to", F.lit(None).cast("long")).select(*columns).unionAll(revisits.select(*columns))
