@@ -4,7 +4,12 @@ A logistic model on counts of a text's characters and words gives each document'
 `sample` labelled rows chosen by hash. Expected numbers of good documents are summed per section (site and path) and
 site; each section's rate is shrunk towards its site's and each site's towards the global rate, with strengths
 estimated from the spread between groups, so sparse groups stay near their parent. A document's posterior replaces the
-training prior in its evidence with its section's rate.
+training prior in its evidence with its section's rate, from which its own evidence is left out: it counts once.
+
+Sums are of whole billionths, so they don't depend on the order of rows. Null sites and sections are groups of their own,
+a null probability is the training prior, null and empty texts have the evidence of an empty text. Rows, repeated ones
+too, and other columns are kept; columns of the added names are replaced. Long texts are worked on in one piece of at
+least one text; an empty table gives no rows, and no labels an even model.
 """
 
 from __future__ import annotations
@@ -18,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewire.llm.common import cut
+from tidewire.llm.common import cut, without
 from tidewire.llm.language_id import blocks
 
 SAMPLE = 4000
@@ -124,7 +129,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
 
 def evidence(docs: DataFrame, model: Model, text: str = "text", out: str = "p_doc") -> DataFrame:
     """Adds the document classifier's probability to every row; a column of that name is replaced. Null texts count as empty."""
-    docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() != out))
+    docs = without(docs, out)
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())])
     place, names = docs.columns.index(text), schema.names
 
@@ -138,7 +143,7 @@ def evidence(docs: DataFrame, model: Model, text: str = "text", out: str = "p_do
 
 
 def _strength(groups: DataFrame, n: str, good: str, parent: str) -> float:
-    """How many documents a parent's rate is worth: from the spread of the groups' rates beyond what counting explains."""
+    """How many documents a parent's rate is worth: from the spread of the groups' rates beyond what counting explains; to six digits."""
     m = F.col(good) / F.col(n)
     r = groups.agg(
         F.sum(n).alias("n"), F.count("*").alias("k"), F.sum(F.col(n) * F.col(n)).alias("nn"), F.sum(F.col(n) * (m - F.col(parent)) ** 2).alias("between"), F.sum(F.col(n) * m * (1 - m)).alias("within"),
@@ -147,36 +152,55 @@ def _strength(groups: DataFrame, n: str, good: str, parent: str) -> float:
         return LEAST_STRENGTH
     within = r["within"] / r["n"]
     spread = (r["between"] - (r["k"] - 1) * within) / (r["n"] - r["nn"] / r["n"])
-    return float(np.clip(within / spread if spread > 0 else MOST_STRENGTH, LEAST_STRENGTH, MOST_STRENGTH))
-
-
-def rates(scored: DataFrame, site: str = "site", section: str = "section", p: str = "p_doc") -> DataFrame:
-    """(site, section) -> section_rate, site_rate, global_rate by grouped sums; null sites and sections are groups of their own."""
-    sections = cut(scored.groupBy(site, section).agg(F.count("*").alias("n"), F.sum(p).alias("good")), "sections")
-    total = sections.agg(F.sum("n").alias("n"), F.sum("good").alias("good")).first()
-    whole = total["good"] / total["n"] if total["n"] else 0.5
-    sites = sections.groupBy(site).agg(F.sum("n").alias("site_n"), F.sum("good").alias("site_good"))
-    k = _strength(sites.withColumn("whole", F.lit(whole)), "site_n", "site_good", "whole")
-    sites = sites.withColumn("site_rate", (F.lit(k * whole) + F.col("site_good")) / (F.lit(k) + F.col("site_n")))
-    both = cut(sections.join(sites.withColumnRenamed(site, "__s"), F.col(site).eqNullSafe(F.col("__s"))).drop("__s"), "sites")
-    j = _strength(both, "n", "good", "site_rate")
-    return cut(both.select(site, section, ((F.lit(j) * F.col("site_rate") + F.col("good")) / (F.lit(j) + F.col("n"))).alias("section_rate"), "site_rate", F.lit(whole).alias("global_rate")), "rates")
+    return float(f"{np.clip(within / spread if spread > 1e-12 else MOST_STRENGTH, LEAST_STRENGTH, MOST_STRENGTH):.6g}")
+
+
+def rates(scored: DataFrame, prior: float = 0.5, site: str = "site", section: str = "section", p: str = "p_doc") -> DataFrame:
+    """(site, section) -> section_rate, site_rate and global_rate by grouped sums, and the sums that judge takes a row's own part out of."""
+    whole = F.round(F.coalesce(F.col(f"`{p}`"), F.lit(prior)) * 1_000_000_000).cast("long")
+    sections = cut(scored.groupBy(F.col(f"`{site}`").alias("__site"), F.col(f"`{section}`").alias("__section")).agg(F.count("*").alias("__n"), (F.sum(whole).cast("decimal(38,0)")).alias("__w")), "sections")
+    sections = sections.select("__site", "__section", "__n", (F.col("__w") / F.lit(1_000_000_000)).cast("double").alias("__good"), "__w")
+    total = sections.agg(F.sum("__n").alias("n"), F.sum("__w").alias("w")).first()
+    n, good = total["n"] or 0, float(total["w"] or 0) / 1e9
+    base = good / n if n else 0.5
+    sites = sections.groupBy("__site").agg(F.sum("__n").alias("__site_n"), (F.sum("__w") / F.lit(1_000_000_000)).cast("double").alias("__site_good"))
+    k = _strength(sites.withColumn("__whole", F.lit(base)), "__site_n", "__site_good", "__whole")
+    named = sites.withColumnRenamed("__site", "__s")
+    both = cut(sections.drop("__w").join(named, F.col("__site").eqNullSafe(F.col("__s"))).drop("__s"), "sites")
+    shrunk = both.withColumn("__parent", (F.lit(k * base) + F.col("__site_good")) / (F.lit(k) + F.col("__site_n")))
+    j = _strength(shrunk, "__n", "__good", "__parent")
+    named = shrunk.withColumns({
+        site: F.col("__site"), section: F.col("__section"), "section_rate": (F.lit(j) * F.col("__parent") + F.col("__good")) / (F.lit(j) + F.col("__n")), "site_rate": F.col("__parent"), "global_rate": F.lit(base),
+        "__all_n": F.lit(n).cast("long"), "__all_good": F.lit(good), "__k": F.lit(k), "__j": F.lit(j),
+    })
+    return cut(named.drop("__site", "__section", "__parent"), "rates")
 
 
 def judge(scored: DataFrame, table: DataFrame, model: Model, threshold: float = 0.5, site: str = "site", section: str = "section", p: str = "p_doc") -> DataFrame:
-    """Adds section_rate, site_rate, p_good and keep (p_good >= threshold) to scored rows."""
-    if table.count() <= BROADCAST_SECTIONS:
-        table = F.broadcast(table)
-    table = table.select(F.col(site).alias("__site"), F.col(section).alias("__section"), "section_rate", "site_rate")
+    """Adds section_rate, site_rate, p_good and keep (p_good >= threshold) to scored rows.
+
+    Both rates are those of the other documents: the row's own evidence is taken out of every sum.
+    """
+    few = table.count() <= BROADCAST_SECTIONS
+    table = table.select(F.col(f"`{site}`").alias("__site"), F.col(f"`{section}`").alias("__section"), "__n", "__good", "__site_n", "__site_good", "__all_n", "__all_good", "__k", "__j")
+    scored = without(scored, "section_rate", "site_rate", "p_good", "keep")
+    columns = [F.col(f"`{c}`") for c in scored.columns]
     logit = lambda c: F.log(c / (1 - c))
     inside = lambda c: F.least(F.greatest(c, F.lit(1e-4)), F.lit(1 - 1e-4))
-    odds = logit(inside(F.col(p))) - F.lit(float(np.log(model.prior / (1 - model.prior)))) + logit(inside(F.col("section_rate")))
-    joined = scored.join(table, F.col(site).eqNullSafe(F.col("__site")) & F.col(section).eqNullSafe(F.col("__section")))
-    return joined.drop("__site", "__section").withColumn("p_good", 1 / (1 + F.exp(-odds))).withColumn("keep", F.col("p_good") >= threshold)
+    own = F.coalesce(F.col(f"`{p}`"), F.lit(model.prior))
+    joined = scored.join(F.broadcast(table) if few else table, F.col(f"`{site}`").eqNullSafe(F.col("__site")) & F.col(f"`{section}`").eqNullSafe(F.col("__section")))
+    top = F.when(F.col("__all_n") > 1, (F.col("__all_good") - own) / (F.col("__all_n") - 1)).otherwise(0.5)
+    joined = joined.withColumn("__top", top)
+    joined = joined.withColumn("__up", (F.col("__k") * F.col("__top") + F.col("__site_good") - own) / (F.col("__k") + F.col("__site_n") - 1))
+    joined = joined.withColumn("__in", (F.col("__j") * F.col("__up") + F.col("__good") - own) / (F.col("__j") + F.col("__n") - 1))
+    odds = logit(inside(own)) - F.lit(float(np.log(model.prior / (1 - model.prior)))) + logit(inside(F.col("__in")))
+    p_good = F.round(1 / (1 + F.exp(-odds)), 12)
+    return joined.select(*columns, F.round("__in", 12).alias("section_rate"), F.round("__up", 12).alias("site_rate"), p_good.alias("p_good"), (p_good >= threshold).alias("keep"))
 
 
 def op8_quality(spark, sf_dir: str) -> DataFrame:
+    """Every document's evidence and posterior; documents have no urls, so the source stands for the host and the language for the path."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = cut(evidence(docs.select("doc_id", F.col("source").alias("site"), F.col("lang").alias("section"), "text"), model).drop("text"), "evidence")
-    return judge(scored, rates(scored), model).select("doc_id", "site", "section", "p_doc", "site_rate", "section_rate", "p_good", "keep")
+    return judge(scored, rates(scored, model.prior), model).select("doc_id", "site", "section", "p_doc", "site_rate", "section_rate", "p_good", "keep")
