@@ -112,16 +112,27 @@ def _best(text: Column, segments: Column, header: str) -> Column:
     idf, vectors, other = weights()
 
     def judged(line: Column) -> Column:
-        words = F.filter(F.split(F.lower(line), "[^a-z0-9]+"), lambda w: w != "")
-        terms = F.transform(F.array_distinct(words), lambda w: F.struct(w.alias("w"), (F.size(F.filter(words, lambda x: x == w)) * F.coalesce(F.try_element_at(_map(idf), w), F.lit(other))).alias("x")))
+        """The best template of a segment, in time of one sort of its words: equal words stand in a row, and the nth of them adds (2n - 1) squared weights to the norm."""
+        words = F.array_sort(F.filter(F.split(F.lower(line), "[^a-z0-9]+"), lambda w: w != ""))
+        weight = lambda w: F.coalesce(F.try_element_at(_map(idf), w), F.lit(other))
 
-        def best(ts: Column) -> Column:
-            norm = F.sqrt(F.aggregate(ts, F.lit(0.0), lambda a, t: a + t["x"] * t["x"]))
-            dot = lambda v: F.aggregate(ts, F.lit(0.0), lambda a, t: a + t["x"] * F.coalesce(F.try_element_at(_map(v), t["w"]), F.lit(0.0)))
-            dots = [F.struct(F.round(dot(v) / norm, 9).alias("score"), F.lit(-k).alias("k")) for k, v in enumerate(vectors)]
-            return F.array_max(F.array(*dots))
+        def count(acc: Column, w: Column) -> Column:
+            run = F.when(acc["w"] == w, acc["run"] + 1).otherwise(1.0)
+            weigh = F.when(acc["w"] == w, acc["weight"]).otherwise(weight(w))
+            return F.struct(w.alias("w"), run.alias("run"), weigh.alias("weight"), (acc["sum"] + (2 * run - 1) * weigh * weigh).alias("sum"))
 
-        return F.transform(F.array(terms), best)[0]
+        def best(ws: Column) -> Column:
+            start = F.struct(F.lit("").alias("w"), F.lit(0.0).alias("run"), F.lit(0.0).alias("weight"), F.lit(0.0).alias("sum"))
+            norm = F.sqrt(F.aggregate(ws, start, count, lambda acc: acc["sum"]))
+            known = F.filter(ws, lambda w: F.try_element_at(_map(idf), w).isNotNull())
+
+            def scores(pair: Column) -> Column:
+                dot = lambda v: F.aggregate(pair["known"], F.lit(0.0), lambda a, w: a + F.coalesce(F.try_element_at(_map({x: idf[x] * y for x, y in v.items()}), w), F.lit(0.0)))
+                return F.array_max(F.array(*(F.struct(F.round(dot(v) / pair["norm"], 9).alias("score"), F.lit(-k).alias("k")) for k, v in enumerate(vectors))))
+
+            return F.transform(F.array(F.struct(norm.alias("norm"), known.alias("known"))), scores)[0]
+
+        return F.transform(F.array(words), best)[0]
 
     none = F.struct(F.lit(0.0).alias("score"), F.lit(1).alias("k"))
     found = F.when(F.lower(text).rlike(header), F.coalesce(F.array_max(F.transform(segments, judged)), none)).otherwise(none)
@@ -164,7 +175,7 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", threshold: fl
 
 
 def op9_license_scan(spark, sf_dir: str) -> DataFrame:
-    """Documents as files: the source is the top directory, each hundred keys a directory below it."""
+    """Documents as files: the source is the top directory, each hundred keys a directory below it; see scan for nulls and ties."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     files = docs.select("doc_id", F.concat("source", F.lit("/"), F.floor(F.col("doc_id") / 100).cast("string"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), "text")
     return scan(files)
@@ -176,16 +187,35 @@ def _oracle() -> str:
     rows = ", ".join(f"({k}, {quote(n)}, {quote(f)})" for k, (n, f, _) in enumerate(TEMPLATES))
     vec = ", ".join(f"({k}, {quote(w)}, {x!r})" for k, v in enumerate(vectors) for w, x in v.items())
     words = ", ".join(f"({quote(w)}, {x!r})" for w, x in idf.items())
+    place: dict[str, int] = {}
+    for k, (name, _, _) in enumerate(TEMPLATES):
+        place.setdefault(name, k)
+    spoken = lambda t: f" {' '.join(_words(t))} "
+    said = ", ".join(f"({n}, {place[name]}, {quote(spoken(t))})" for n, (name, t) in enumerate(STATEMENTS))
+    header, reserved, reserved_k = HEADER + MORE, spoken(RESERVED[1]), place[RESERVED[0]]
     return rf"""
 WITH templates(k, name, family) AS (VALUES {rows}), vectors(k, w, v) AS (VALUES {vec}), idf(w, i) AS (VALUES {words}),
 files AS (SELECT doc_id, source || '/' || CAST(floor(doc_id / 100.0) AS BIGINT) || '/' || doc_id || '.txt' AS path, text FROM documents),
-lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS ln FROM files),
-headers AS (SELECT * FROM lines WHERE regexp_matches(lower(line), '{HEADER}')),
+folded AS (SELECT *, lower(text) AS low FROM files WHERE regexp_matches(lower(text), '{header}')),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS ln FROM folded),
+marked AS (SELECT *, regexp_matches(lower(line), '{header}') AS is_header FROM lines),
+runs AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY ln) AS line FROM (SELECT *, ln - row_number() OVER (PARTITION BY doc_id ORDER BY ln) AS g FROM marked WHERE is_header) GROUP BY doc_id, g),
+sentences AS (SELECT doc_id, unnest(string_split(regexp_replace(regexp_replace(text, '\s*\n[\s#*/;-]*', ' ', 'g'), '([.!?])\s+([\p{{Lu}}(])', '\1' || chr(1) || '\2', 'g'), chr(1))) AS line FROM folded),
+headers AS (SELECT doc_id, row_number() OVER () AS ln, line FROM (SELECT doc_id, line FROM marked WHERE is_header UNION SELECT * FROM runs UNION SELECT * FROM sentences WHERE regexp_matches(lower(line), '{header}'))),
 terms AS (SELECT doc_id, ln, w, count(*) AS n FROM (SELECT doc_id, ln, unnest(regexp_split_to_array(lower(line), '[^a-z0-9]+')) AS w FROM headers) WHERE w <> '' GROUP BY ALL),
 weighed AS (SELECT doc_id, ln, w, n * coalesce(i, {other!r}) AS x FROM terms LEFT JOIN idf USING (w)),
 norms AS (SELECT doc_id, ln, sqrt(sum(x * x)) AS norm FROM weighed GROUP BY ALL),
 cosines AS (SELECT doc_id, ln, k, sum(x * v) AS dot FROM weighed JOIN vectors USING (w) GROUP BY ALL),
-best AS (SELECT doc_id, round(dot / norm, 9) AS score, k, row_number() OVER (PARTITION BY doc_id ORDER BY round(dot / norm, 9) DESC, k) AS r FROM cosines JOIN norms USING (doc_id, ln)),
+cosine AS (SELECT doc_id, score, k FROM (SELECT doc_id, round(dot / norm, 9) AS score, k, row_number() OVER (PARTITION BY doc_id ORDER BY round(dot / norm, 9) DESC, k) AS r FROM cosines JOIN norms USING (doc_id, ln)) WHERE r = 1),
+said AS (SELECT doc_id, ' ' || regexp_replace(low, '[^a-z0-9]+', ' ', 'g') || ' ' AS words FROM folded),
+statements(ord, said_k, statement) AS (VALUES {said}),
+stated AS (SELECT doc_id, arg_min(said_k, ord) AS said_k FROM said JOIN statements ON contains(words, statement) GROUP BY doc_id),
+best AS (
+  SELECT f.doc_id, 1 AS r,
+    CASE WHEN coalesce(c.score, 0) < 1 AND s.said_k IS NOT NULL THEN s.said_k WHEN coalesce(c.score, 0) < {THRESHOLD} AND contains(w.words, '{reserved}') THEN {reserved_k} ELSE c.k END AS k,
+    CASE WHEN coalesce(c.score, 0) < 1 AND s.said_k IS NOT NULL THEN 1.0 WHEN coalesce(c.score, 0) < {THRESHOLD} AND contains(w.words, '{reserved}') THEN 1.0 ELSE c.score END AS score
+  FROM folded f JOIN said w USING (doc_id) LEFT JOIN cosine c USING (doc_id) LEFT JOIN stated s USING (doc_id)
+),
 scanned AS (
   SELECT f.doc_id, path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, coalesce(score, 0) AS score, CASE WHEN score >= {THRESHOLD} THEN name END AS licence,
     coalesce(score >= {THRESHOLD}, false) AND len(regexp_split_to_array(trim(coalesce(text, '')), '\s+')) <= {STATEMENT_WORDS} AS speaks
