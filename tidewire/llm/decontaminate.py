@@ -6,22 +6,24 @@ of a task's rows: words that no window has become separators, runs of the others
 window are left out (no window fits them), the rest is indexed, and all windows are searched backwards at once. Each
 occurrence is located and its words are marked; marked neighbours merge into removal spans.
 
-Words are compared by 64-bit hash and length. Whole texts are used. The benchmark is taken in blocks of bounded size, so
-what is sent to a task does not grow; with more than one block the spans of a document are united afterwards.
+Words are compared by 64-bit hash and length. Whole texts are used. The benchmark is taken in blocks of bounded size: one
+goes to the tasks with the plan, more are files in the shared folder that a task reads one after another for each shard,
+so neither what is sent to a task nor what it holds grows, and the documents are read once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewire.llm.common import scratch, without
 from tidewire.llm.fm_index import FMIndex
 
 WINDOW = 10
@@ -119,10 +121,10 @@ def match_shard(numbers: np.ndarray, doc: np.ndarray, windows: Windows) -> tuple
     return hit, pairs
 
 
-def _answers(texts: list[str | None], windows: Windows, hasher: _Hasher) -> list[tuple[int, int, list[str], list[dict]]]:
-    """A row of RESULT for each text."""
+def _answers(texts: list[str | None], blocks: Iterable[Windows], hasher: _Hasher) -> list[tuple[int, int, list[str], list[dict]]]:
+    """A row of RESULT for each text; the words are hashed once and meet one block of windows after another."""
     data = [(t or "").encode() for t in texts]
-    numbers, begin, end, doc = [], [], [], []
+    values, begin, end, doc = [], [], [], []
     at = 0
     while at < len(data):  # words are hashed by groups of about a million bytes
         to, size = at, 0
@@ -132,23 +134,28 @@ def _answers(texts: list[str | None], windows: Windows, hasher: _Hasher) -> list
         value, b, e = hasher(b"\x00".join(data[at:to]))
         offset = np.concatenate([[0], np.cumsum([len(x) + 1 for x in data[at:to]])])
         d = np.searchsorted(offset, b, side="right") - 1
-        place = np.searchsorted(windows.vocabulary, value)
-        place[place == len(windows.vocabulary)] = 0
-        known = windows.vocabulary[place] == value if len(windows.vocabulary) else np.zeros(len(value), bool)
-        numbers.append(np.where(known, place + 1, 0))
+        values.append(value)
         begin.append(b - offset[d])
         end.append(e - offset[d])
         doc.append(d + at)
         at = to
-    numbers, begin, end, doc = (np.concatenate(x).astype(np.int64) if x else np.empty(0, np.int64) for x in (numbers, begin, end, doc))
-    hit, pairs = match_shard(numbers, doc, windows)
+    value = np.concatenate(values) if values else np.empty(0, np.uint64)
+    begin, end, doc = (np.concatenate(x).astype(np.int64) if x else np.empty(0, np.int64) for x in (begin, end, doc))
+    hit = np.zeros(len(value), bool)
+    items: dict[int, list[str]] = {}
+    for windows in blocks:
+        if not len(windows.vocabulary):
+            continue
+        place = np.searchsorted(windows.vocabulary, value)
+        place[place == len(windows.vocabulary)] = 0
+        found, pairs = match_shard(np.where(windows.vocabulary[place] == value, place + 1, 0).astype(np.int64), doc, windows)
+        hit |= found
+        for d, i in pairs.tolist():
+            if windows.names[i] is not None:
+                items.setdefault(d, []).append(windows.names[i])
     n_words = np.bincount(doc, minlength=len(data))
     n_hit = np.bincount(doc[hit], minlength=len(data))
     last = np.cumsum(n_words)
-    items: dict[int, list[str]] = {}
-    for d, i in pairs.tolist():
-        if windows.names[i] is not None:
-            items.setdefault(d, []).append(windows.names[i])
     out = []
     for d in range(len(data)):
         spans = []
@@ -162,7 +169,7 @@ def _answers(texts: list[str | None], windows: Windows, hasher: _Hasher) -> list
     return out
 
 
-def _pass(docs: DataFrame, text: str, windows: Windows, shard_words: int) -> DataFrame:
+def _pass(docs: DataFrame, text: str, blocks: Callable[[], Iterable[Windows]], shard_words: int) -> DataFrame:
     schema = T.StructType([*docs.schema.fields, *T._parse_datatype_string(RESULT).fields])
     place = docs.columns.index(text)
     kinds = [pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))]
@@ -177,7 +184,7 @@ def _pass(docs: DataFrame, text: str, windows: Windows, shard_words: int) -> Dat
             while at < len(texts):  # a shard: about six bytes a word
                 done = int(sizes[at - 1]) if at else 0
                 to = max(at + 1, int(np.searchsorted(sizes, done + 6 * shard_words, side="right")))
-                got = list(zip(*_answers(texts.slice(at, to - at).to_pylist(), windows, hasher), strict=True))
+                got = list(zip(*_answers(texts.slice(at, to - at).to_pylist(), blocks(), hasher), strict=True))
                 piece = batch.slice(at, to - at)
                 yield pa.RecordBatch.from_arrays([*piece.columns, *(pa.array(c, k) for c, k in zip(got, kinds, strict=True))], names=names)
                 at = to
@@ -190,41 +197,39 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
 
     spans are ranges of code points [start, end) of the text. Null and empty texts have no words; null and empty items
     have no window; an item with a null id hits words but is not listed. Rows are kept, repeated ones too. Columns of
-    the added names are replaced.
+    the added names are replaced, others may have any names and types. A long text is a shard of its own; empty tables
+    give no rows or no hits.
     """
-    docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("n_words", "n_hit", "items", "spans")))
-    items = benchmark.select(F.col(item).cast("string").alias("i"), F.col(item_text).alias("t"))
+    docs = without(docs, "n_words", "n_hit", "items", "spans")
+    items = benchmark.select(F.col(f"`{item}`").cast("string").alias("i"), F.col(f"`{item_text}`").alias("t"))
     size = items.agg(F.sum(F.length("t"))).first()[0] or 0
-    blocks = max(1, -(-size // (6 * block_words)))
-    if blocks == 1:
-        return _pass(docs, text, Windows([(r["i"], r["t"]) for r in items.collect()]), shard_words)
-    passes = []
-    for b in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).collect()
-        passes.append(_pass(docs, text, Windows([(r["i"], r["t"]) for r in part]), shard_words).withColumn("__block", F.lit(b)))
-    both = passes[0]
-    for p in passes[1:]:
-        both = both.unionAll(p)
-    # equal rows have equal answers in each block: one of them is merged, then the copies come back
-    keys = [F.col(f"`{c}`") for c in docs.columns]
-    merged = both.groupBy(*keys, "n_words").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_set(F.when(F.size("spans") > 0, F.col("spans")))).alias("__all"), F.count_if(F.col("__block") == 0).alias("__copies")
-    )
+    n = max(1, -(-size // (6 * block_words)))
+    if n == 1:
+        only = [Windows([(r["i"], r["t"]) for r in items.collect()])]
+        return _pass(docs, text, lambda: only, shard_words)
+    folder = scratch(docs.sparkSession, "windows")
+    files = [f"{folder}/{b:06d}" for b in range(n)]
+    for b, file in enumerate(files):  # a block of bounded size at a time
+        rows = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b).collect()
+        _write(file, pickle.dumps(Windows([(r["i"], r["t"]) for r in rows])))
+    return _pass(docs, text, lambda: (pickle.loads(_read(file)) for file in files), shard_words)
+
+
+def _write(path: str, data: bytes) -> None:
+    from pyarrow import fs
+
+    system, inner = fs.FileSystem.from_uri(path)
+    system.create_dir(inner.rpartition("/")[0], recursive=True)
+    with system.open_output_stream(inner) as f:
+        f.write(data)
+
 
-    @F.pandas_udf("n_hit long, spans array<struct<start:int,end:int>>")
-    def unite(texts: pd.Series, all_spans: pd.Series) -> pd.DataFrame:
-        hasher, rows = _Hasher(64), []
-        for t, found in zip(texts, all_spans, strict=True):
-            out: list[list[int]] = []
-            for s, e in sorted((s["start"], s["end"]) for s in found):
-                if out and (s <= out[-1][1] or not len(hasher(t[out[-1][1] : s].encode())[0])):  # no word between them
-                    out[-1][1] = max(out[-1][1], e)
-                else:
-                    out.append([s, e])
-            rows.append((sum(len(hasher(t[s:e].encode())[0]) for s, e in out), [{"start": s, "end": e} for s, e in out]))
-        return pd.DataFrame(rows, columns=["n_hit", "spans"])
+def _read(path: str) -> bytes:
+    from pyarrow import fs
 
-    return merged.withColumn("__u", unite(F.col(text), "__all")).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*keys, "n_words", "__u.n_hit", "items", "__u.spans")
+    system, inner = fs.FileSystem.from_uri(path)
+    with system.open_input_stream(inner) as f:
+        return f.read()
 
 
 def remove_spans(docs: DataFrame, text: str = "text", spans: str = "spans") -> DataFrame:
@@ -238,6 +243,7 @@ def remove_spans(docs: DataFrame, text: str = "text", spans: str = "spans") -> D
 
 
 def op7_decontaminate(spark, sf_dir: str) -> DataFrame:
+    """Every document's words, hits and items; see find_contamination for nulls, repeated rows and long texts."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
