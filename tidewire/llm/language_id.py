@@ -147,12 +147,28 @@ def blocks(texts: list, most: int) -> Iterator[tuple[int, int]]:
         at = to
 
 
+def quotas(sizes: dict[str, int], sample: int) -> dict[str, float]:
+    """Rows wanted of each group: all of small ones, and equal shares of what is left of the sample of the others."""
+    out: dict[str, float] = {}
+    left = float(sample)
+    for k, (name, n) in enumerate(sorted(sizes.items(), key=lambda x: (x[1], x[0]))):
+        out[name] = min(float(n), left / (len(sizes) - k))
+        left -= out[name]
+    return out
+
+
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE) -> Model:
-    """From rows with a text and a language whose key isn't held out; the sample is taken by hash, about `sample` rows."""
-    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key)))
-    n = rows.count()
-    if n > sample:
-        rows = rows.where(F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(1 << 30)) < int((1 << 30) * sample / n))
+    """From rows with a text and a language whose key isn't held out; about `sample` rows, taken by hash.
+
+    Each language gives an equal share of the sample, or all its rows if it has fewer, so that rare ones are learned.
+    """
+    rows = docs.select(F.col(f"`{text}`").alias(text), F.col(f"`{lang}`").alias(lang), F.col(f"`{key}`").alias(key)).where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key)))
+    sizes = {r[lang]: r["n"] for r in rows.groupBy(lang).agg(F.count("*").alias("n")).collect()}
+    shares = quotas(sizes, sample)
+    most = {name: int((1 << 30) * shares[name] / n) for name, n in sizes.items() if shares[name] < n}
+    if most:
+        limit = F.try_element_at(F.map_from_arrays(F.array(*map(F.lit, most)), F.array(*map(F.lit, most.values()))), F.col(lang))
+        rows = rows.where(limit.isNull() | (F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(1 << 30)) < limit))
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -187,7 +203,9 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Adds lang_pred, score (the share of lang_pred) and langs (all chosen languages with shares) to every row.
 
-    A text that is null or has no letter is und with score 0. Columns of these names are replaced.
+    A text that is null or has no letter is und with score 0, as is every text where no language was learned. Equal
+    shares go to the language of the lesser name. Rows, repeated ones too, and other columns are kept; columns of these
+    names are replaced. Long texts are worked on whole, a text at a time; an empty table gives no rows.
     """
     docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("lang_pred", "score", "langs")))
     schema = T.StructType([*docs.schema.fields, *T._parse_datatype_string(RESULT).fields])
@@ -206,6 +224,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 
 def op3_language_id(spark, sf_dir: str) -> DataFrame:
+    """Every document's language, learned from documents that aren't held out; see train and identify for nulls and ties."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = train(docs)
     return identify(docs.select("doc_id", "text"), model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "langs")
