@@ -149,7 +149,8 @@ def compare_successors(docs: DataFrame, key: str = "doc_id", text: str = "text")
 
     The edited text has the last floor(n_chars / 4) code points replaced by the first as many (or all) of the next
     document's. Documents are ordered by key, rows of one key by the hash of their text; null keys come first; after
-    the last comes the first, and a lone document follows itself. Null texts are empty.
+    the last comes the first, and a lone document follows itself. Null texts are empty. Texts of any length are held
+    whole, two at a time. Other columns of docs are not returned, whatever their names; an empty table gives no rows.
 
     Keys are dealt into ranges by quantiles. A row goes to its range, the first row of a range also to the range before
     it: the texts are shuffled once, compressed, and each range is read in order with one row held back.
@@ -224,4 +225,5 @@ def compare_successors(docs: DataFrame, key: str = "doc_id", text: str = "text")
 
 
 def op4_fingerprints(spark, sf_dir: str) -> DataFrame:
+    """Every document with its edited text and successor; see compare_successors for nulls, ties and repeated rows."""
     return compare_successors(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

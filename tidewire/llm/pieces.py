@@ -329,7 +329,11 @@ def _with(docs: DataFrame, name: str, kind: str) -> tuple[DataFrame, T.StructTyp
 
 
 def encode(docs: DataFrame, v: Vocabulary, text: str = "text", out: str = "token_ids") -> DataFrame:
-    """Adds the ids of every row's whole text; a column of that name is replaced."""
+    """Adds the ids of every row's whole text; a column of that name is replaced.
+
+    Null and empty texts have no ids. Rows, repeated ones too, and other columns are kept. Long texts are encoded in
+    chunks that end at spaces, with ids as if in one. Equal merges go to the leftmost. An empty table gives no rows.
+    """
     docs, schema = _with(docs, out, "array<int>")
     place, names = docs.columns.index(text), schema.names
 
@@ -370,6 +374,7 @@ def decode(docs: DataFrame, v: Vocabulary, ids: str = "token_ids", out: str = "d
 
 
 def op10_sentencepiece(spark, sf_dir: str, model: str = MODEL) -> DataFrame:
+    """Every document's ids and what they decode to; see encode and decode for nulls, repeated rows and long texts."""
     v = Vocabulary.load(model)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     both = decode(encode(docs, v), v)
