@@ -50,26 +50,57 @@ def sparse_cosine(vectors: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
     return left.join(vectors.select(F.col(key).alias("right"), "idx", F.col("value").alias("y")), ["right", "idx"]).groupBy("left", "right").agg(F.round(F.sum(F.col("x") * F.col("y")), 6).alias("cosine"))
 
 
-def _overlap(a: set, b: set) -> float:
-    return len(a & b) / min(len(a), len(b)) if a and b else 0.0
+#: What a new region adds, what it adds more for a flow that is from abroad only, what evidence seen before costs.
+NEW_REGION, ABROAD_ONLY, SEEN_EVIDENCE = 2.5, 0.35, 6.0
 
 
-def featured(rows: DataFrame, group: str, key: str, signal: str, regions: str, evidence: str, n: int = 3) -> DataFrame:
-    """(group, key, rank): greedy choice by signal, 2.5 for each region not yet covered, minus 6 times the evidence overlap with a chosen one."""
-    schema = T.StructType([rows.schema[group], rows.schema[key], T.StructField("rank", T.IntegerType())])
+def overlap(a: Column, b: Column) -> Column:
+    """Shared values of two arrays as a part of the lesser; 0 where one is empty."""
+    least = F.least(F.size(F.array_distinct(a)), F.size(F.array_distinct(b)))
+    return F.when(least > 0, F.size(F.array_intersect(a, b)) / least).otherwise(0.0)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        todo = [(k, float(s), set(r), set(e)) for k, s, r, e in zip(pdf[key], pdf[signal], pdf[regions], pdf[evidence], strict=True)]
-        chosen: list[tuple] = []
-        covered: set = set()
-        while todo and len(chosen) < n:
-            best = max(todo, key=lambda x: (x[1] + (2.5 * len(x[2] - covered) if chosen else 0.0) - 6.0 * max((_overlap(x[3], c[3]) for c in chosen), default=0.0), x[1], str(x[0])))
-            todo.remove(best)
-            chosen.append(best)
-            covered |= best[2]
-        return pd.DataFrame({group: pdf[group].iloc[0], key: [c[0] for c in chosen], "rank": range(1, len(chosen) + 1)})
 
-    return rows.groupBy(group).applyInPandas(run, schema)
+def insight_signal(now: Column, before: Column, evidence: Column) -> Column:
+    """Strength of a flow: its count, its growth and its evidence."""
+    n, b = F.coalesce(now, F.lit(0)).cast("double"), F.coalesce(before, F.lit(0)).cast("double")
+    return n + F.greatest(F.lit(0.0), n - b) * 0.6 + F.least(F.size(evidence), F.lit(6)) * 0.15
+
+
+def featured(rows: DataFrame, group: str, key: str, signal: str, regions: str, evidence: str, n: int = 3, direction: str | None = None, scope: str | None = None, abroad: str = "overseas") -> DataFrame:
+    """(group, key, rank): n rounds, each of which gives every group the row that adds the most to those it has.
+
+    A row adds its signal, NEW_REGION for each region that is new (from the second round on), ABROAD_ONLY if abroad is
+    new and all of its scope, less SEEN_EVIDENCE times its largest overlap with a chosen row. Rows without evidence, or
+    without a direction where that column is named, are no candidates; of equals the higher signal, then the greater key.
+    The rounds are aggregates and joins by group: a group is never gathered.
+    """
+    wanted = F.size(evidence) > 0 if direction is None else (F.size(evidence) > 0) & (F.coalesce(F.col(direction), F.lit("")) != "")
+    todo = rows.where(wanted).select(group, key, F.col(signal).cast("double").alias("__s"), F.col(regions).cast("array<string>").alias("__r"), F.col(evidence).alias("__e"), (F.col(scope) if scope else F.lit(None).cast("string")).alias("__scope"))
+    state, picks = None, []
+    for rank in range(1, n + 1):
+        if state is None:
+            now = todo.withColumn("__add", F.col("__s"))
+        else:
+            fresh = F.array_except("__r", "__seen")
+            bonus = NEW_REGION * F.size(fresh) + F.when(F.array_contains(fresh, F.lit(abroad)) & (F.coalesce("__scope", F.lit("")) == abroad), ABROAD_ONLY).otherwise(0.0)
+            cost = F.array_max(F.transform("__chosen", lambda c: overlap(F.col("__e"), c)))
+            now = todo.join(state, group).where(~F.array_contains("__keys", F.col(key))).withColumn("__add", F.col("__s") + bonus - SEEN_EVIDENCE * cost)
+        best = now.groupBy(group).agg(F.max(F.struct(F.round("__add", 9).alias("a"), F.col("__s").alias("s"), F.col(key).alias("k"), F.col("__r").alias("r"), F.col("__e").alias("e"))).alias("b"))
+        picks.append(best.select(group, F.col("b.k").alias(key), F.lit(rank).alias("rank")))
+        chosen = best.select(group, F.array("b.k").alias("__k1"), F.col("b.r").alias("__r1"), F.array("b.e").alias("__e1"))
+        if state is None:
+            state = chosen.toDF(group, "__keys", "__seen", "__chosen")
+        else:
+            joined = state.join(chosen, group)
+            state = joined.select(group, F.concat("__keys", "__k1").alias("__keys"), F.array_union("__seen", "__r1").alias("__seen"), F.concat("__chosen", "__e1").alias("__chosen"))
+    out = picks[0]
+    for p in picks[1:]:
+        out = out.unionAll(p)
+    return out
+
+
+def _overlap(a: set, b: set) -> float:
+    return len(a & b) / min(len(a), len(b)) if a and b else 0.0
 
 
 def fold_insights(rows: DataFrame, group: str, key: str, evidence: str, signal: str, least: float = 0.4) -> DataFrame:

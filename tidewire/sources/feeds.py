@@ -11,6 +11,7 @@ import re
 import xml.etree.ElementTree as ET
 from collections.abc import Callable, Iterator
 from email.utils import parsedate_to_datetime
+from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -69,27 +70,79 @@ def board_entries(document: str | None, row: str, title: str, link: str, day: st
     return out
 
 
-def newsletter_entries(document: str | None, least: int = 60) -> list[tuple]:
-    """Blocks of a newsletter with a link and at least `least` characters; a block's last link counts."""
-    out = []
-    for block in re.split(r"</(?:p|td|li|div|tr|h[1-6])>", document or "", flags=re.I):
-        links = re.findall(r"href=[\"'](https?://[^\"']+)", block, re.I)
-        text = re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]*>", " ", block))).strip()
-        if links and len(text) >= least:
-            out.append((text, html.unescape(links[-1]), None, "", ""))
-    return out
+class _Blocks(HTMLParser):
+    """Text and links of each run of a page between ends of block elements."""
+
+    ENDS = {"p", "td", "li", "div", "tr", "h1", "h2", "h3", "h4", "h5", "h6"}
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.done: list[tuple[str, list[str]]] = []
+        self.text: list[str] = []
+        self.links: list[str] = []
+
+    def handle_starttag(self, tag, attrs):
+        self.text.append(" ")
+        self.links += [v for k, v in attrs if k == "href" and v]
+
+    def handle_endtag(self, tag):
+        self.text.append(" ")
+        if tag in self.ENDS:
+            self.flush()
+
+    def handle_data(self, data):
+        self.text.append(data)
+
+    def flush(self):
+        self.done.append((" ".join("".join(self.text).split()), self.links))
+        self.text, self.links = [], []
+
+
+#: Parts of links in newsletters that lead to no article.
+NO_ARTICLE = ("unsubscribe", "mailto:", "facebook.com", "twitter.com", "linkedin.com", "instagram.com", "preferences", "viewinbrowser", "view-in-browser")
+
+
+def newsletter_entries(document: str | None, least: int = 60, most: int = 25) -> list[tuple]:
+    """Blocks of a newsletter with an article's link and at least `least` characters, at most `most`; a block's last link counts."""
+    blocks = _Blocks()
+    blocks.feed(document or "")
+    blocks.flush()
+    good = ((text, links[-1].strip()) for text, links in blocks.done if links and len(text) >= least)
+    return [(text, link, None, "", "") for text, link in good if link.lower().startswith("http") and not any(x in link.lower() for x in NO_ARTICLE)][:most]
+
+
+_REPORT_LINES = (
+    ("head", re.compile(r"^###\s+\d+\.\s+(?P<title>.+?)\s+\(score\s+(?P<score>\d+),[^)]*?sources?:\s*(?P<sources>[^)]*)\)", re.I)),
+    ("url", re.compile(r"^\s*-\s+URL:\s+(?P<value>\S+)")),
+    ("note", re.compile(r"^\s*-\s+Evidence:\s+(?P<value>.+?)\s*$")),
+    ("stat", re.compile(r"^\s*-\s+(?P<source>[A-Za-z][\w ]*):\s+(?P<count>\d+)\s+items?\b")),
+)
+
+
+def report_lines(document: str | None) -> Iterator[tuple[str, dict[str, str]]]:
+    """The lines of a markdown report that say something, with what they say."""
+    for line in (document or "").splitlines():
+        for kind, pattern in _REPORT_LINES:
+            if m := pattern.match(line):
+                yield kind, m.groupdict()
+                break
 
 
 def cluster_entries(document: str | None, evidence: int = 3000) -> list[tuple]:
-    """Clusters of a markdown report (title, score, sources, url, evidence), the highest score first."""
-    heads = list(re.finditer(r"^###\s+\d+\.\s+(.+?)\s+\(score\s+(\d+),[^)]*?sources?:\s*([^)]*)\)", document or "", re.M | re.I))
-    out = []
-    for m, n in zip(heads, [*heads[1:], None], strict=True):
-        body = document[m.end() : n.start() if n else len(document)]
-        url = re.search(r"^\s*-\s+URL:\s+(\S+)", body, re.M)
-        notes = " ".join(x.strip() for x in re.findall(r"^\s*-\s+Evidence:\s+(.+?)\s*$", body, re.M))[:evidence]
-        out.append((m[1].strip(), int(m[2]), [s.strip() for s in m[3].split(",") if s.strip()], url[1] if url else None, notes))
-    return sorted(out, key=lambda x: -x[1])
+    """Clusters of a markdown report (title, score, sources, url, evidence), the highest score first; lines before the first head belong to none."""
+    found: list[dict] = []
+    for kind, said in report_lines(document):
+        if kind == "head":
+            found.append({"title": said["title"].strip(), "score": int(said["score"]), "sources": [x for s in said["sources"].split(",") if (x := s.strip())], "url": [], "note": []})
+        elif found and kind in found[-1]:
+            found[-1][kind].append(said["value"].strip())
+    ranked = sorted(found, key=lambda c: c["score"], reverse=True)
+    return [(c["title"], c["score"], c["sources"], next(iter(c["url"]), None), " ".join(c["note"])[:evidence]) for c in ranked]
+
+
+def report_stats(document: str | None) -> list[tuple]:
+    """(source, items) of a report's statistics lines, the last of a source."""
+    return list({said["source"]: int(said["count"]) for kind, said in report_lines(document) if kind == "stat"}.items())
 
 
 def parse(documents: DataFrame, column: str, keep: list[str], parser: Callable[[str | None], list[tuple]], schema: str = ENTRY) -> DataFrame:
