@@ -38,8 +38,14 @@ def blocked_sources(spark, d):
 
 
 def source_roles(spark, d):
-    r = U.source_role(U.host_plain(F.col("url")))
-    return table(spark, d, "pages").select(r["source_type"].alias("source_type"), r["tier"].alias("tier")).groupBy("source_type", "tier").agg(F.count("*").alias("n"))
+    """Roles of the hosts of pages, and of hosts made from customers and suppliers so that each rung of the ladder is met."""
+    k = F.pmod("c_custkey", F.lit(5))
+    ending = F.when(k == 0, ".go.kr").when(k == 1, ".gov").when(k == 2, ".gov.uk").when(k == 3, ".co.kr").otherwise(".com")
+    hosts = table(spark, d, "pages").select(U.host_plain(F.col("url")).alias("h"))
+    hosts = hosts.unionAll(table(spark, d, "customer").select(F.concat(F.replace(F.lower("c_mktsegment"), F.lit(" "), F.lit("")), ending)))
+    hosts = hosts.unionAll(table(spark, d, "supplier").select(F.when(F.col("s_suppkey") % 3 == 0, "prnewswire.com").when(F.col("s_suppkey") % 3 == 1, "businesswire.com")))
+    r = U.source_role(F.col("h"))
+    return hosts.select(r["source_type"].alias("source_type"), r["tier"].alias("tier")).groupBy("source_type", "tier").agg(F.count("*").alias("n"))
 
 
 def body_extract(spark, d):
@@ -87,7 +93,7 @@ def event_date_contract(spark, d):
 
 
 def local_vector_norms(spark, d):
-    v = E.local_vectors(table(spark, d, "benchmark").withColumn("title", F.substring("text", 1, 40)), "item_id", "title", "text")
+    v = E.local_vectors(table(spark, d, "benchmark").withColumn("title", F.split_part("text", F.lit("."), F.lit(1))), "item_id", "title", "text")
     return v.groupBy("item_id").agg(F.round(F.sum(F.col("value") * F.col("value")), 6).alias("norm"), F.count("*").alias("cells"))
 
 
@@ -119,10 +125,11 @@ SQL = {
         SELECT page_id, regexp_replace(base, '/+$', '') || CASE WHEN len(q) > 0 THEN '?' || array_to_string(list_sort(q), '&') ELSE '' END AS canonical FROM b""",
     "url_groups": r"SELECT regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)), '^www\.', ''), '^m\.', ''), '^amp\.', ''), '^blog\.', '') AS site, count(*) AS n, max(page_id) AS best FROM pages GROUP BY 1",
     "blocked_sources": r"WITH h AS (SELECT page_id, regexp_replace(regexp_replace(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1), '^www\.', ''), '^m\.', '') AS h FROM pages) SELECT page_id, h IN ('example.org', 'spam-farm.example.com') OR ends_with(h, '.example.org') OR ends_with(h, '.spam-farm.example.com') AS blocked FROM h",
-    "source_roles": "SELECT 'general_media' AS source_type, 3 AS tier, count(*) AS n FROM pages",
+    "source_roles": r"""WITH h AS (SELECT regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#:]*)', 1)), '^www\.', '') AS h FROM pages UNION ALL SELECT replace(lower(c_mktsegment), ' ', '') || CASE c_custkey % 5 WHEN 0 THEN '.go.kr' WHEN 1 THEN '.gov' WHEN 2 THEN '.gov.uk' WHEN 3 THEN '.co.kr' ELSE '.com' END FROM customer UNION ALL SELECT CASE s_suppkey % 3 WHEN 0 THEN 'prnewswire.com' WHEN 1 THEN 'businesswire.com' END FROM supplier)
+        SELECT CASE WHEN regexp_matches(h, '\.(go\.kr|gov|gov\.uk)$') THEN 'official' WHEN h IN ('globenewswire.com', 'prnewswire.com', 'businesswire.com') THEN 'press_release' WHEN coalesce(h, '') <> '' THEN 'general_media' ELSE 'unknown' END AS source_type, CASE WHEN regexp_matches(h, '\.(go\.kr|gov|gov\.uk)$') THEN 1 ELSE 3 END AS tier, count(*) AS n FROM h GROUP BY 1, 2""",
     "title_keys": r"SELECT lower(trim(regexp_replace(string_split(text, chr(10))[1], '\s+', ' ', 'g'))) AS k, count(*) AS n FROM documents GROUP BY 1",
     "calendar_days": "SELECT ((ts + INTERVAL 9 HOUR)::date)::varchar AS day, count(*) AS n FROM events GROUP BY 1",
-    "topics_by_rule": """WITH t AS (SELECT doc_id, lower(left(text, 400)) AS t FROM documents), r AS (SELECT doc_id, list_filter([CASE WHEN contains(t, 'tion') OR contains(t, 'ment') THEN 'dense' END, CASE WHEN contains(t, 'ing ') THEN 'ing' END, CASE WHEN contains(t, 'sch') OR contains(t, 'ung') THEN 'german' END, CASE WHEN contains(t, 'ción') OR contains(t, 'que') THEN 'romance' END], lambda x: x IS NOT NULL)[1:3] AS v FROM t)
+    "topics_by_rule": """WITH t AS (SELECT doc_id, lower(text) AS t FROM documents), r AS (SELECT doc_id, list_filter([CASE WHEN contains(t, 'tion') OR contains(t, 'ment') THEN 'dense' END, CASE WHEN contains(t, 'ing ') THEN 'ing' END, CASE WHEN contains(t, 'sch') OR contains(t, 'ung') THEN 'german' END, CASE WHEN contains(t, 'ción') OR contains(t, 'que') THEN 'romance' END], lambda x: x IS NOT NULL)[1:3] AS v FROM t)
         SELECT doc_id, array_to_string(v, ',') AS topics, CASE WHEN len(v) > 0 THEN 'rules' ELSE 'none' END AS source FROM r""",
     "region_ladder": """SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'domestic' WHEN c_custkey % 5 = 1 THEN 'overseas' WHEN c_nationkey = 3 THEN 'domestic' WHEN c_nationkey > 15 THEN 'overseas' WHEN c_mktsegment = 'BUILDING' THEN 'domestic' WHEN c_mktsegment = 'MACHINERY' THEN 'overseas' ELSE 'domestic' END AS region FROM customer""",
     "tag_canonical": "SELECT CASE WHEN t = 'promobrushedtin' THEN 'tin' ELSE t END AS tag, count(*) AS n FROM (SELECT regexp_replace(lower(p_type), '\\s+', '', 'g') AS t FROM part) GROUP BY 1",

@@ -291,11 +291,12 @@ SQL = {
     "exact_dedup_two_phase": """WITH x AS (SELECT doc_id, md5(text) AS url, lower(string_split(text, chr(10))[1]) AS title, n_chars FROM documents), a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY n_chars DESC, doc_id) AS r FROM x) WHERE r = 1)
         SELECT doc_id, url, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY title ORDER BY n_chars DESC, doc_id) AS q FROM a) WHERE q = 1""",
     "fold_ledger": """SELECT md5(text) AS url, min(doc_id) AS kept, count(*) - 1 AS folded_count, array_to_string(list(left(text, 20) ORDER BY doc_id)[2:4], '|') AS folded FROM documents GROUP BY 1""",
-    "cosine_pairs_threshold": """SELECT * FROM (SELECT a.vec_id, b.vec_id AS other, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id // 10 = b.vec_id // 10 AND a.vec_id < b.vec_id) WHERE cosine >= 0.15""",
-    "pair_features": """WITH t AS (SELECT doc_id, list_distinct([]) AS z, (SELECT list(w ORDER BY k)[1:8] FROM (SELECT w, min(k) AS k FROM (SELECT unnest(x) AS w, generate_subscripts(x, 1) AS k FROM (SELECT regexp_split_to_array(lower(text), '[^a-z]+') AS x)) WHERE length(w) >= 2 GROUP BY w)) AS tokens FROM documents)
-        SELECT a.doc_id, round(CASE WHEN len(list_distinct(list_concat(coalesce(a.tokens, []), coalesce(b.tokens, [])))) > 0 THEN len(list_intersect(coalesce(a.tokens, []), coalesce(b.tokens, []))) / len(list_distinct(list_concat(coalesce(a.tokens, []), coalesce(b.tokens, [])))) ELSE 0 END, 6) AS jaccard, len(list_intersect(coalesce(a.tokens, []), coalesce(b.tokens, []))) AS shared FROM t a JOIN t b ON b.doc_id = a.doc_id + 1""",
-    "candidate_pairs_scored": """WITH o AS (SELECT *, o_orderdate::date AS day FROM orders WHERE starts_with(o_orderpriority, '1')), p AS (SELECT a.o_orderkey AS left, b.o_orderkey AS right, a.o_orderstatus = b.o_orderstatus AS s, year(a.day) = year(b.day) AS y FROM o a JOIN o b ON a.o_custkey = b.o_custkey AND (a.day, a.o_orderkey) < (b.day, b.o_orderkey) AND b.day - a.day <= 21),
-        f AS (SELECT "left", "right", (s::int + y::int) / (4 - s::int - y::int)::double AS t, 1 + s::int AS g FROM p)
+    "cosine_pairs_threshold": """SELECT * FROM (SELECT a.vec_id, b.vec_id AS other, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id) WHERE cosine >= 0.15""",
+    "pair_features": """WITH w AS (SELECT DISTINCT doc_id, left(w, 8) AS w FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\\pL\\pM\\p{Nd}\\p{Nl}\\p{Pc}]+')) AS w FROM documents) WHERE length(w) >= 2),
+        n AS (SELECT d.doc_id, count(w.w) AS n FROM documents d LEFT JOIN w USING (doc_id) GROUP BY 1), s AS (SELECT a.doc_id, count(*) AS k FROM w a JOIN w b ON b.doc_id = a.doc_id + 1 AND a.w = b.w GROUP BY 1)
+        SELECT a.doc_id, round(CASE WHEN a.n + b.n > 0 THEN coalesce(k, 0) / (a.n + b.n - coalesce(k, 0)) ELSE 0 END, 6) AS jaccard, coalesce(k, 0)::int AS shared FROM n a JOIN n b ON b.doc_id = a.doc_id + 1 LEFT JOIN s ON s.doc_id = a.doc_id""",
+    "candidate_pairs_scored": """WITH o AS (SELECT *, o_orderdate::date AS day FROM orders), p AS (SELECT a.o_orderkey AS left, b.o_orderkey AS right, a.o_orderstatus = b.o_orderstatus AS s, a.o_orderpriority = b.o_orderpriority AS q, year(a.day) = year(b.day) AS y FROM o a JOIN o b ON a.o_custkey = b.o_custkey AND (a.day, a.o_orderkey) < (b.day, b.o_orderkey) AND b.day - a.day <= 21),
+        f AS (SELECT "left", "right", (s::int + y::int) / (4 - s::int - y::int)::double AS t, q::int + s::int AS g FROM p)
         SELECT "left", "right", round(t, 6) AS token_ratio, g AS tag_shared, round(0.55 * t + 0.25 * t + 0.2 * g / (4 - g), 6) AS score, t >= 0.78 OR (g >= 2 AND (t >= 0.32 OR t >= 0.2)) OR (g >= 1 AND t >= 0.55) AS matched FROM f""",
     "rejected_wins_except": """WITH p AS (SELECT DISTINCT event_type, least(user_id, event_id % 150) AS l, greatest(user_id, event_id % 150) AS r FROM events) SELECT l AS "left", r AS "right" FROM p WHERE event_type = 'purchase' EXCEPT SELECT l, r FROM p WHERE event_type = 'error'""",
     "queue_prune": "SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders WHERE NOT (o_totalprice > 300000 OR o_orderstatus = 'P' OR starts_with(o_orderpriority, '5'))",
@@ -324,8 +325,7 @@ SQL = {
     "quality_gate_codes": """WITH x AS (SELECT d.doc_id, concat_ws(',', CASE WHEN n_chars < 100 THEN 'too_short' END, CASE WHEN quality = 0 THEN 'bad_quality' END, CASE WHEN toxic = 1 THEN 'toxic' END, CASE WHEN quality IS NULL THEN 'unlabelled' END, CASE WHEN NOT regexp_matches(text, '[.!?]\\s*$') THEN 'incomplete_sentence' END) AS codes FROM documents d LEFT JOIN labels USING (doc_id)) SELECT doc_id, codes, codes = '' AS passes FROM x""",
     "discovery_yield": """WITH l AS (SELECT user_id, coalesce(max(event_id) FILTER (event_type = 'purchase'), -1) AS h FROM events GROUP BY 1) SELECT user_id, count(*) AS runs, count(*) FILTER (event_id > h) AS zero_streak, count(*) FILTER (event_id > h) >= 3 AS cooling FROM events JOIN l USING (user_id) GROUP BY 1""",
     "union_by_name_feeds": "SELECT 'search' AS feed, count(*) AS n, 0::bigint AS scored FROM customer UNION ALL SELECT 'rss', count(*), count(s_acctbal) FROM supplier",
-    "entity_mentions": """WITH a AS (SELECT DISTINCT unnest(ts) AS alias FROM (SELECT (SELECT list(w ORDER BY k)[1:3] FROM (SELECT w, min(k) AS k FROM (SELECT unnest(x) AS w, generate_subscripts(x, 1) AS k FROM (SELECT regexp_split_to_array(lower(text), '[^a-z]+') AS x)) WHERE length(w) >= 6 GROUP BY w)) AS ts FROM benchmark)),
-        t AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(lower(text), '[^\\pL\\pM\\pN_]+')) AS token FROM documents) SELECT 'e-' || alias AS entity_id, count(DISTINCT doc_id) AS docs FROM a JOIN t ON alias = token GROUP BY 1""",
+    "entity_mentions": """WITH a AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS alias FROM benchmark), t AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(lower(text), '[^\\pL\\pM\\pN_]+')) AS token FROM documents) SELECT 'e-' || alias AS entity_id, count(DISTINCT doc_id) AS docs FROM a JOIN t ON alias = token WHERE length(alias) >= 6 GROUP BY 1""",
 }
 
 _SCORE = """WITH q AS (SELECT l_orderkey, l_linenumber, CASE WHEN starts_with(o_orderpriority, '1') THEN 'must_read' WHEN starts_with(o_orderpriority, '5') THEN 'noise' ELSE 'nice_to_know' END AS grade,

@@ -124,7 +124,7 @@ def system_status(spark, d):
 
 
 def max_calls_in_60s(spark, d):
-    return A.peak_in_window(_events(spark, d), "event_type", "ts", 3600)
+    return A.peak_in_window(_events(spark, d), "event_type", "ts", 60)
 
 
 def topic_week_shares(spark, d):
@@ -146,7 +146,7 @@ def field_fill(spark, d):
 
 
 def unique_issue_estimate(spark, d):
-    t = F.substring(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", ""), 1, 40)
+    t = F.regexp_replace(F.lower(F.split_part("text", F.lit("\n"), F.lit(1))), "[^a-z0-9]+", "")
     return table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.countDistinct(t).alias("unique_titles"))
 
 
@@ -211,15 +211,15 @@ SQL = {
     "entity_rollup_with_zero": """SELECT p_partkey, p_brand, count(DISTINCT l_orderkey) AS item_count, max(l_shipdate::date) AS latest FROM part LEFT JOIN lineitem ON l_partkey = p_partkey AND l_quantity > 45 GROUP BY 1, 2""",
     "country_issue_counts": """SELECT n_name, count(DISTINCT o_orderkey) AS issues, count(DISTINCT o_custkey) AS sources FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY 1""",
     "system_status": """SELECT round(epoch(TIMESTAMP '2024-02-01' - max(date_trunc('second', ts))) / 3600, 6) AS age_hours, epoch(TIMESTAMP '2024-02-01' - max(date_trunc('second', ts))) / 3600 > 10 AS stale FROM events""",
-    "max_calls_in_60s": """SELECT event_type, count(*) AS calls, max(n) AS peak FROM (SELECT event_type, count(*) OVER (PARTITION BY event_type ORDER BY epoch_us(ts) RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) AS n FROM events) GROUP BY 1""",
+    "max_calls_in_60s": """SELECT event_type, count(*) AS calls, max(n) AS peak FROM (SELECT event_type, count(*) OVER (PARTITION BY event_type ORDER BY epoch_us(ts) RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW) AS n FROM events) GROUP BY 1""",
     "topic_week_shares": """WITH a AS (SELECT strftime(ts, '%G-W%V') AS week, event_type, count(DISTINCT user_id) AS n FROM events GROUP BY 1, 2) SELECT *, sum(n) OVER (PARTITION BY week)::bigint AS total, round(n / sum(n) OVER (PARTITION BY week), 6) AS share FROM a""",
     "role_turn_rollup": """SELECT conv_id, count(*) AS turns, count(*) FILTER (role = 'user') AS user_turns, sum(length(text))::bigint AS chars, arg_min(role, (turn, role)) AS first_role, arg_max(role, (turn, role)) AS last_role FROM conversations GROUP BY 1""",
     "field_fill": """WITH e AS (SELECT *, json_extract_string(props, '$.k')::double AS k FROM events) SELECT event_type, count(*) AS n, round(avg((k IS NOT NULL)::int), 6) AS k_fill, round(avg(CASE WHEN value > 10 THEN (k > 50)::int END), 6) AS k_high_of_valued FROM e GROUP BY 1""",
-    "unique_issue_estimate": """SELECT lang, count(*) AS n, count(DISTINCT left(regexp_replace(lower(text), '[^a-z0-9]+', '', 'g'), 40)) AS unique_titles FROM documents GROUP BY 1""",
+    "unique_issue_estimate": """SELECT lang, count(*) AS n, count(DISTINCT regexp_replace(lower(string_split(text, chr(10))[1]), '[^a-z0-9]+', '', 'g')) AS unique_titles FROM documents GROUP BY 1""",
     "recall_by_stage": """SELECT quality, count(*) AS required, round(avg((lang IS NOT NULL)::int), 6) AS collected, round(avg(coalesce((n_chars > 500)::int, 0)), 6) AS exposed FROM labels LEFT JOIN documents USING (doc_id) GROUP BY 1""",
     "story_construction": """SELECT l_orderkey, min(l_shipdate::date) AS day, count(DISTINCT l_suppkey) AS outlets, array_to_string(list_sort(list(DISTINCT l_returnflag)), '') AS flags, bool_or(l_discount > 0.09) AS any_deep, bool_and(l_tax > 0) AS all_taxed, arg_max(l_partkey, (l_quantity, l_extendedprice, -l_linenumber)) AS rep_part FROM lineitem GROUP BY 1""",
     "briefing_rollup": """WITH p AS (SELECT event_type, ts::date AS day, count(*) AS current FROM events GROUP BY 1, 2) SELECT *, coalesce(sum(current) OVER (PARTITION BY event_type ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS history FROM p""",
-    "open_questions_first": """SELECT conv_id, turn, question FROM (SELECT conv_id, turn, left(text, 30) AS question, row_number() OVER (PARTITION BY left(text, 30) ORDER BY conv_id, turn) AS r FROM conversations WHERE contains(text, '?') OR role = 'user') WHERE r = 1""",
+    "open_questions_first": """SELECT conv_id, turn, question FROM (SELECT conv_id, turn, text AS question, row_number() OVER (PARTITION BY text ORDER BY conv_id, turn) AS r FROM conversations WHERE contains(text, '?') OR role = 'user') WHERE r = 1""",
     "weekly_counters": """SELECT strftime(ts, '%G-W%V') AS week, event_type, count(*) AS n, grouping(event_type)::int AS is_total FROM events GROUP BY GROUPING SETS ((1, event_type), (1))""",
 }
 
