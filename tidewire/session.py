@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -23,3 +25,18 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "6g
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the harness's Parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df with its lineage cut by a checkpoint in the folder that spark.checkpoint.dir names.
+
+    Where neither it nor the context's own folder is set, a local master (tests) gets a temporary one; a cluster an error.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tidewire-"))
+    return df.checkpoint()
