@@ -68,11 +68,20 @@ def top_in_group(counts: DataFrame, group: list[str], order: list[Column], n: in
 
 
 def alive_weeks(spans: DataFrame, key: str, first: str, last: str, group: str | None = None) -> DataFrame:
-    """(group, week): keys alive in each ISO week from their first to their last day, each once."""
+    """(group, week, n): keys alive in each ISO week from their first to their last day, each once.
+
+    Two rows for each span (one enters, one leaves), summed by week and added up over the weeks: spans aren't unrolled. Spans
+    of one key and group are united first, so each key needs spans without gaps.
+    """
     monday = lambda c: F.date_trunc("week", c).cast("date")
-    weeks = spans.select(*([group] if group else []), key, F.explode(F.sequence(monday(F.col(first)), monday(F.col(last)), F.expr("INTERVAL 7 DAYS"))).alias("monday"))
-    label = iso_week(F.col("monday"))
-    return weeks.groupBy(*([group] if group else []), label.alias("week")).agg(F.countDistinct(key).alias("n"))
+    groups = [group] if group else []
+    each = spans.groupBy(*groups, key).agg(F.min(first).alias("__f"), F.max(last).alias("__l")).where("__f is not null and __l is not null")
+    steps = each.select(*groups, F.explode(F.array(F.struct(monday(F.col("__f")).alias("w"), F.lit(1).alias("d")), F.struct(F.date_add(monday(F.col("__l")), 7).alias("w"), F.lit(-1).alias("d")))).alias("x"))
+    summed = steps.groupBy(*groups, F.col("x.w").alias("__w")).agg(F.sum("x.d").alias("__d"))
+    over = W.partitionBy(*groups).orderBy("__w")  # a row a week at most
+    level = summed.select(*groups, "__w", F.sum("__d").over(over).alias("n"), F.lead("__w").over(over).alias("__to")).where("n > 0")
+    weeks = level.select(*groups, F.explode(F.sequence("__w", F.date_sub("__to", 7), F.expr("INTERVAL 7 DAYS"))).alias("monday"), "n")
+    return weeks.select(*groups, iso_week(F.col("monday")).alias("week"), "n")
 
 
 def iso_week(day: Column) -> Column:
@@ -86,11 +95,15 @@ def first_by(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
 
 
 def verification(rows: DataFrame, issue: str, source: str, official: Column) -> DataFrame:
-    """confirmed by an official source; else cross_checked by two or more independent sources, single with one, else unverified."""
-    a = rows.groupBy(issue).agg(F.countDistinct(F.when(official, F.col(source))).alias("official"), F.collect_set(F.when(official, F.col(source))).alias("__o"), F.collect_set(F.when(~official, F.col(source))).alias("__i"))
-    independent = F.size(F.array_except("__i", "__o"))
-    state = F.when(F.col("official") > 0, "confirmed").when(independent >= 2, "cross_checked").when(independent == 1, "single").otherwise("unverified")
-    return a.select(issue, "official", independent.cast("long").alias("independent"), state.alias("state"))
+    """confirmed by an official source; else cross_checked by two or more independent sources, single with one, else unverified.
+
+    A source that is official once is so for the issue. Two levels of counts: an issue's sources are never gathered.
+    """
+    per = rows.groupBy(issue, source).agg(F.max(F.coalesce(official, F.lit(False)).cast("int")).alias("__o"))
+    named = F.col(source).isNotNull()
+    counted = per.groupBy(issue).agg(F.count_if(named & (F.col("__o") == 1)).alias("official"), F.count_if(named & (F.col("__o") == 0)).alias("independent"))
+    state = F.when(F.col("official") > 0, "confirmed").when(F.col("independent") >= 2, "cross_checked").when(F.col("independent") == 1, "single").otherwise("unverified")
+    return counted.select(issue, "official", "independent", state.alias("state"))
 
 
 def guarded_rates(rows: DataFrame, group: str, flags: dict[str, Column], least: int = 20) -> DataFrame:

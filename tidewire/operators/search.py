@@ -48,17 +48,38 @@ def ladder_search(rows: DataFrame, query: str, fields: list[tuple[str, int]], or
     return rows.withColumn("score", case).where("score > 0").orderBy(F.desc("score"), *order).limit(n)
 
 
-def related(items: DataFrame, key: str, parts: list[tuple[str, int]], n: int = 3) -> DataFrame:
-    """For each item the n others with the greatest weighed overlap of its sets; values join values, no pair of all items.
+#: A value that more items carry than this is common: items meet over it by signature, not one by one.
+COMMON_VALUE = 1000
 
-    A value carried by very many items makes many pairs: pass selective columns.
+
+def related(items: DataFrame, key: str, parts: list[tuple[str, int]], n: int = 3, common: int = COMMON_VALUE) -> DataFrame:
+    """For each item the n others with the greatest weighed overlap of its sets; of equals the lesser key.
+
+    Items meet over rare values pair by pair. Common ones would make pairs of all that carry them; there each set of
+    common values is a signature, signatures meet, and an item gets the n + 1 best others by its signature alone. No
+    other can be among its first n without a rare value in common, so the result is that of all pairs.
     """
-    scored = None
-    for c, w in parts:
-        long = items.select(key, F.explode(F.array_distinct(c)).alias("v"))
-        pairs = long.join(long.withColumnRenamed(key, "other"), "v").where(F.col(key) != F.col("other")).groupBy(key, "other").agg((F.count("*") * w).alias("s"))
-        scored = pairs if scored is None else scored.unionByName(pairs)
-    total = scored.groupBy(key, "other").agg(F.sum("s").alias("score"))
+    def tagged(c: str, w: int) -> Column:
+        return F.transform(F.array_distinct(c), lambda v: F.struct(F.concat(F.lit(f"{c}:"), v.cast("string")).alias("v"), F.lit(w).alias("w")))
+
+    long = items.select(key, F.explode(F.flatten(F.array(*(tagged(c, w) for c, w in parts)))).alias("x")).select(key, "x.v", "x.w").where("v is not null")
+    frequent = long.groupBy("v").agg(F.count("*").alias("n")).where(F.col("n") > common).select("v")
+    few = frequent.limit(1).count() == 0
+    rare = long if few else long.join(frequent, "v", "left_anti")
+    light = rare.join(rare.select(F.col(key).alias("other"), "v"), "v").where(F.col(key) != F.col("other")).groupBy(key, "other").agg(F.sum("w").alias("s"))
+    if few:
+        total = light.withColumnRenamed("s", "score")
+    else:
+        heavy = long.join(frequent, "v").groupBy(key).agg(F.array_sort(F.collect_set(F.struct("v", "w"))).alias("values")).withColumn("sign", F.xxhash64(F.col("values").cast("string")))
+        signs = heavy.groupBy("sign").agg(F.first("values").alias("values")).select("sign", F.explode("values").alias("x")).select("sign", "x.v", "x.w")
+        met = signs.join(signs.select(F.col("sign").alias("sign2"), "v"), "v").groupBy("sign", "sign2").agg(F.sum("w").alias("h"))
+        own = heavy.select(key, "sign")
+        first = own.withColumn("__r", F.row_number().over(W.partitionBy("sign").orderBy(key))).where(F.col("__r") <= n + 1).select(F.col("sign").alias("sign2"), F.col(key).alias("other"))
+        best = met.join(first, "sign2").withColumn("__r", F.row_number().over(W.partitionBy("sign").orderBy(F.desc("h"), "other"))).where(F.col("__r") <= n + 1).select("sign", "other", "h")
+        alone = own.join(best, "sign").where(F.col(key) != F.col("other")).select(key, "other", F.col("h").alias("score"))
+        named = light.join(own, key, "left").join(own.select(F.col(key).alias("other"), F.col("sign").alias("sign2")), "other", "left").join(met, ["sign", "sign2"], "left")
+        both = named.select(key, "other", (F.col("s") + F.coalesce("h", F.lit(0))).alias("score"))
+        total = both.unionByName(alone).groupBy(key, "other").agg(F.max("score").alias("score"))
     return total.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy(F.desc("score"), "other"))).where(F.col("rank") <= n)
 
 
