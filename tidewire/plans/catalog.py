@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.plans import contracts, lookups, measures, records
+from tidewire.plans import contracts, logs, lookups, measures, records
 
-_MODULES = (measures, lookups, contracts, records)
+_MODULES = (measures, lookups, contracts, records, logs)
 #: Columns that hold days; both sides show them as YYYY-MM-DD strings.
 _DAYS = {
     "bucket_timeline_from_end": ("first_day", "last_day"), "pick_daily_stats": ("day",), "weekly_movers": ("last_seen",), "issue_lifecycle": ("first_seen", "last_seen"), "issue_catalog": ("first_seen", "last_seen"),
