@@ -13,7 +13,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window as W
 
 BatchFunction = Callable[[list[dict]], dict]
 
@@ -60,7 +59,6 @@ def reopen(cache: DataFrame, overlaps: DataFrame, key: str, step: float = 0.10)
 def head_groups(rows: DataFrame, order: list, key: str, k: int, groups: Callable[[list[dict]], list[list]]) -> DataFrame:
     """A grouping function on the head of a ranking only (max(3k, 12) rows): the first of each group stays, the tail is untouched."""
     n = max(3 * k, 12)
-    ranked = rows.withColumn("__rank", F.row_number().over(W.orderBy(*order)))
     head = [r.asDict() for r in rows.orderBy(*order).limit(n).collect()]
     drop: list = []
     try:
@@ -71,4 +69,4 @@ def head_groups(rows: DataFrame, order: list, key: str, k: int, groups: Callable
             drop += g[1:]
     except Exception:  # noqa: BLE001  a failed grouping keeps all rows
         drop = []
-    return ranked.where(~F.col(key).isin(drop) if drop else F.lit(True)).drop("__rank")
+    return rows.where(~F.col(key).isin(drop)) if drop else rows

@@ -9,6 +9,7 @@ from tidewire.functions import fields as P
 from tidewire.functions import gates as G
 from tidewire.functions import normalize as N
 from tidewire.functions import urls as U
+from tidewire.operators import cluster as C
 from tidewire.operators import issues as I
 from tidewire.operators import links as L
 from tidewire.operators import records as A
@@ -248,7 +249,7 @@ def archive_sorts(spark, d):
 
 
 def member_timeline(spark, d):
-    rows = table(spark, d, "lineitem").select("l_orderkey", F.to_date("l_shipdate").alias("article_date"), F.to_date("l_receiptdate" if "l_receiptdate" in table(spark, d, "lineitem").columns else "l_shipdate").alias("briefing_date"), F.concat_ws("-", "l_partkey", "l_linenumber").alias("hash"))
+    rows = table(spark, d, "lineitem").select("l_orderkey", F.to_date("l_shipdate").alias("article_date"), (F.col("l_linenumber") % 3).alias("briefing_date"), F.concat_ws("-", "l_partkey", "l_suppkey", "l_linenumber", F.col("l_quantity").cast("int").cast("string")).alias("hash"))
     return V.positions(rows, "timeline", "hash", ["l_orderkey"]).select("l_orderkey", "hash", "position")
 
 
@@ -356,6 +357,39 @@ def curation_normalised(spark, d):
     return got.select("hash", "importance", "section", "scope", F.array_join("topics", ",").alias("topics"), F.array_join("countries", ",").alias("countries"), "article_type", "title_kr", "summary", "implication", "why_important", "open_question", F.size("tags").alias("tags"), F.size("related_reports").alias("related"), "event_date_type")
 
 
+def issue_verdicts(spark, d):
+    """Orders of a customer as articles: candidate pairs within 21 days judged by the whole ladder of rules."""
+    return _issue_pairs(spark, d)[1].select("left", "right", "method", F.round("score", 4).alias("score"), F.array_join("blocked_by", ",").alias("blocked_by"))
+
+
+def issues_in_two_passes(spark, d):
+    """Issues of the same orders, clustered again once every other review candidate is judged the same event and the rest another."""
+    rows, scored = _issue_pairs(spark, d)
+    return I.two_passes(rows, scored, "o_orderkey", "day", ["day"], "countries", lambda q: q.select("left", "right", ((F.col("left") + F.col("right")) % 2 == 0).alias("same")))
+
+
+def _issue_pairs(spark, d) -> tuple[DataFrame, DataFrame]:
+    o = _orders(spark, d)
+    title = F.concat_ws(" ", _pick(_n("o_custkey", 3), "한빛", "바라카", "계약"), (_n("o_orderkey", 3) + 1).cast("string"), F.lit("호기"), F.col("o_orderpriority"), F.when(F.col("o_orderstatus") == "F", "재가동 승인").otherwise("수출 계약"))
+    rows = o.select("o_orderkey", "day", title.alias("title"), F.array("o_orderstatus", "o_orderpriority").alias("tags"), F.array(F.year("o_orderdate").cast("string")).alias("topics"), F.when(_n("c_nationkey", 3) == 0, F.array(F.lit("KR"))).when(_n("o_orderkey", 2) == 0, F.array(F.lit("US"))).otherwise(F.array(F.lit("OTHER"))).alias("countries"), F.array(F.col("o_custkey").cast("string")).alias("blocks"))
+    pairs = C.candidate_pairs(rows, "o_orderkey", "day", "blocks")
+    return rows, I.score_pairs(pairs, rows, "o_orderkey", "title", "tags", "topics", "countries", "")
+
+
+def selection_outcomes(spark, d):
+    """A year's orders as a queue: duplicates folded, floor, cap and a diverse choice."""
+    o = _orders(spark, d).where("o_totalprice > 100000")
+    rows = o.select(F.date_format("day", "yyyy-MM-dd").alias("run"), "o_orderkey", F.concat_ws(" ", _pick(_n("o_custkey", 2), "고리", "한빛"), (_n("o_orderkey", 4) + 1).cast("string"), F.lit("호기"), F.col("c_mktsegment")).alias("title"), F.array("o_orderstatus").alias("tags"), F.round(F.col("o_totalprice") / 20000, 3).alias("score"), F.when(F.col("o_orderpriority").startswith("1"), "must_read").otherwise("nice_to_know").alias("grade"), (_n("o_orderkey", 5) != 0).alias("has"), F.col("o_orderpriority").alias("topic"), F.date_format("o_orderdate", "HH:mm:ss").alias("queued"))
+    got = SEL.rank_and_select(rows, ["run"], "o_orderkey", "title", "tags", "score", "grade", "has", "topic", "queued", {"nice_to_know": 10.0, "must_read": 6.0}, {"base": 3, "max": 8})
+    return got.select("run", "o_orderkey", "outcome", "dup_of", "rank")
+
+
+def prior_coverage(spark, d):
+    """How often benchmark titles were told before in the documents' first lines."""
+    new = table(spark, d, "benchmark").select("item_id", F.split_part("text", F.lit("."), F.lit(1)).alias("title"))
+    return SEL.prior_coverage(new, "item_id", "title", table(spark, d, "documents").select(F.split_part("text", F.lit("."), F.lit(1)).alias("old")), "old")
+
+
 SQL = {
     "legacy_scores": """WITH o AS (SELECT *, CASE WHEN starts_with(o_orderpriority, '1') THEN 'must_read' WHEN o_orderstatus = 'P' THEN 'noise' ELSE 'nice_to_know' END AS grade FROM orders JOIN customer ON c_custkey = o_custkey)
         SELECT o_orderkey, grade, CASE grade WHEN 'must_read' THEN 10.0::double ELSE 5.0::double END + CASE c_mktsegment WHEN 'BUILDING' THEN 2 ELSE 0 END + CASE WHEN o_custkey % 4 <= 1 THEN 2 ELSE 0 END + CASE WHEN o_totalprice > 300000 THEN 1 ELSE 0 END AS score FROM o""",
@@ -409,6 +443,7 @@ SQL = {
     "catalog_order": """WITH i AS (SELECT l_orderkey, max(l_shipdate::date) AS ls, count(*) FILTER (l_returnflag = 'R') AS mr, max(l_quantity) AS sc, count(DISTINCT l_suppkey) AS cc FROM lineitem GROUP BY 1) SELECT l_orderkey, l_orderkey % 7 AS shelf, row_number() OVER (PARTITION BY l_orderkey % 7 ORDER BY ls DESC, mr DESC, sc DESC, cc DESC, l_orderkey) AS position FROM i QUALIFY position <= 20""",
     "archive_sorts": """WITH i AS (SELECT l_orderkey, max(l_shipdate::date) AS ls, count(*) AS ac, count(DISTINCT l_shipdate) AS bc FROM lineitem GROUP BY 1), s AS (SELECT 'recent' AS sort, l_orderkey, row_number() OVER (PARTITION BY l_orderkey % 7 ORDER BY ls DESC, ac DESC, l_orderkey) AS position FROM i UNION ALL SELECT 'tracked', l_orderkey, row_number() OVER (PARTITION BY l_orderkey % 7 ORDER BY bc DESC, ls DESC, l_orderkey) FROM i UNION ALL SELECT 'sources', l_orderkey, row_number() OVER (PARTITION BY l_orderkey % 7 ORDER BY ac DESC, ls DESC, l_orderkey) FROM i)
         SELECT sort, l_orderkey, l_orderkey % 7 AS shelf, position FROM s WHERE position <= 10""",
+    "member_timeline": """WITH m AS (SELECT l_orderkey, l_shipdate::date AS a, l_linenumber % 3 AS b, l_partkey || '-' || l_suppkey || '-' || l_linenumber || '-' || l_quantity::int AS hash FROM lineitem) SELECT l_orderkey, hash, row_number() OVER (PARTITION BY l_orderkey ORDER BY a DESC, b DESC, hash DESC) AS position FROM m""",
     "fifo_cap": "SELECT event_id FROM events ORDER BY ts, event_id LIMIT 80",
     "weekly_changed": """WITH i AS (SELECT l_orderkey, max(l_shipdate::date) AS ls, count(DISTINCT l_suppkey) AS cc FROM lineitem GROUP BY 1), m AS (SELECT max(ls) AS d FROM i), w AS (SELECT (d - ((dayofweek(d) + 1) % 7)::int)::date AS s FROM m) SELECT l_orderkey FROM i, w WHERE l_orderkey % 2 = 0 AND ls BETWEEN s AND s + 6 ORDER BY ls DESC, cc DESC, l_orderkey LIMIT 5""",
     "archive_filtered": """WITH i AS (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) FILTER (l_linestatus = 'F') > 0 AND count(*) FILTER (l_returnflag = 'R') > 0) SELECT l_orderkey FROM i WHERE l_orderkey % 2 = 0 AND l_orderkey % 3 <> 1 AND contains(l_orderkey::varchar, '1')""",
@@ -431,4 +466,4 @@ SQL = {
     "migrated_archive": """SELECT o_orderkey::varchar AS hash, 'https://h.com/' || o_custkey AS url FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY starts_with(o_orderpriority, '5')::int, o_orderkey % 3, o_orderdate::date DESC, o_orderkey::varchar) AS r FROM orders WHERE o_orderkey % 17 <> 0 AND o_orderkey % 29 <> 0) WHERE r = 1""",
     "curation_normalised": """SELECT c_custkey AS hash, ['must_read', 'nice_to_know', 'noise'][c_custkey % 3 + 1] AS importance, ['smr', 'international', 'international', 'khnp'][c_custkey % 4 + 1] AS section, ['kr', '', ''][c_custkey % 3 + 1] AS scope, 'smr,waste,fusion' AS topics, 'US,KR' AS countries, 'opinion' AS article_type, CASE WHEN c_custkey % 2 = 0 THEN '제목' ELSE c_name END AS title_kr, 'a b' AS summary, CASE WHEN c_custkey % 5 = 0 THEN '건설을 승인했다.' ELSE '' END AS implication, CASE WHEN c_custkey % 5 = 0 THEN '중요한 일이다.' ELSE '' END AS why_important, CASE WHEN c_custkey % 3 = 0 THEN '시점은 미정이다' ELSE '' END AS open_question, 3 AS tags, 0 AS related, 'deadline' AS event_date_type FROM customer""",
 }
-QUERIES = {k: globals()[k] for k in [*SQL, "member_timeline"]}
+QUERIES = {k: globals()[k] for k in [*SQL, "issue_verdicts", "issues_in_two_passes", "selection_outcomes", "prior_coverage"]}

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from tidewire.operators.links import override_table
 
 
-def table_or_empty(spark: SparkSession, path: str, schema: str, form: str = "parquet") -> DataFrame:
+def table_or_empty(spark: SparkSession, path: str, schema: str | T.StructType, form: str = "parquet") -> DataFrame:
     """A state table, or one without rows where nothing was written yet."""
     try:
         return spark.read.schema(schema).format(form).load(path)
