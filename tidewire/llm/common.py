@@ -52,9 +52,12 @@ def scope(spark: SparkSession) -> Iterator[None]:
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again: later steps neither recompute it nor depend on one executor."""
+    """Writes df to the shared folder and reads it again: later steps neither recompute it nor depend on one executor.
+
+    Without a codec: hashes and keys don't shrink, and codecs hold native memory in every column of every writer.
+    """
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "uncompressed").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out
@@ -68,6 +71,13 @@ def free(*tables: DataFrame) -> None:
         tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
+def bound_batches(spark: SparkSession, rows: int = 500) -> None:
+    """From here on the session sends at most so many rows at once to Python: texts may be long, and a batch is held several times."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
     """Queries run inside send at most so many rows at once to Python: for rows that are large."""

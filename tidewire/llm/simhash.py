@@ -23,8 +23,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tidewire.llm.common import cut
+from tidewire.llm.common import cut, free, small_batches
 from tidewire.llm.components import components
 
 BITS = 64
@@ -259,9 +260,10 @@ def near_components(docs: DataFrame, words: int = 3, max_bits: int = 2, max_buck
     """(key, fp, component_id) for every row of docs; component_id is the least key that links reach.
 
     Texts without words have fingerprint 0 and link like any other. Null texts count as empty. Rows with a null key
-    link too but never name a component, so it is null where all keys are. Repeated rows come out repeatedly.
+    link too but never name a component, so it is null where all keys are. Repeated rows come out repeatedly. Long texts
+    are hashed whole in bounded pieces; other columns are not returned, whatever their names; no rows give no rows.
     """
-    prints = cut(docs.select(F.col(key).alias("__k"), fingerprint(F.col(text), words).alias("fp")), "prints")
+    prints = cut(docs.select(F.col(f"`{key}`").alias("__k"), fingerprint(F.col(f"`{text}`"), words).alias("fp")), "prints")
     each = cut(prints.groupBy("fp").agg(F.min("__k").alias("least")), "distinct")
     roots = components(links(each, max_bits, max_bucket)).withColumnRenamed("node", "fp")
     rooted = cut(each.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
@@ -272,19 +274,40 @@ def near_components(docs: DataFrame, words: int = 3, max_bits: int = 2, max_buck
 
 # ---- similarity of shingle sets
 
+#: Tables of keys up to this number of rows (24 bytes each) are broadcast; larger ones join by shuffle.
+BROADCAST_KEYS = 1_000_000
+#: How many of a set's shared prefix shingles go along with each, to name a pair at the first common one only.
+NAMED = 8
+#: Shingles that so many of the sampled sets have are salted.
+HOT_SHINGLE = 64
+#: Groups of a shingle up to this size are paired by a join, larger ones in blocks of BLOCK rows that meet in Python.
+JOINED_GROUP = 64
+#: Before all pairs of a large group are tried, its members meet one hub, and then one in so many of the pairs is tried.
+ONE_IN = 8
+BLOCK = 2048
+
 
 def partial_prints(distinct: np.ndarray, bands: int) -> list[int]:
     """SimHashes of three shingles each: those least under the band's own order. Fewer than three shingles: of all."""
-    out = []
-    for b in range(bands):
-        order = (distinct ^ np.uint64((0x9E3779B97F4A7C15 * (b + 1)) & (1 << 64) - 1)) * np.uint64(0xD6E8FEB86659FD93)
+    if len(distinct) <= 3:
+        return [majority(distinct)] * bands
+    seeds = np.array([(0x9E3779B97F4A7C15 * (b + 1)) & (1 << 64) - 1 for b in range(bands)], np.uint64)
+    out = np.zeros(bands, np.int64)
+    kept: np.ndarray | None = None
+    for at in range(0, len(distinct), 1 << 15):  # bounded memory for very long texts
+        own = np.broadcast_to(distinct[None, at : at + (1 << 15)], (bands, min(1 << 15, len(distinct) - at)))
+        own = own if kept is None else np.concatenate([kept, own], axis=1)
+        order = (own ^ seeds[:, None]) * np.uint64(0xD6E8FEB86659FD93)
         order ^= order >> np.uint64(32)
-        out.append(majority(distinct[np.argpartition(order, 2)[:3]] if len(distinct) > 3 else distinct))
-    return out
+        kept = np.take_along_axis(own, np.argpartition(order, min(2, own.shape[1] - 1), axis=1)[:, :3], axis=1)
+    for b in range(bands):
+        x, y, z = kept[b]
+        out[b] = ((x & y) | (x & z) | (y & z)).view(np.int64)  # the majority of three
+    return out.tolist()
 
 
 def shingle_sets(docs: DataFrame, words: int, bands: int, text: str, key: str) -> DataFrame:
-    """(k, fp, th, prints, shingles): key, SimHash, hash of the set of shingles, partial SimHashes, sorted 32-bit hashes of the set."""
+    """(k, row, fp, th, prints, shingles): key, hash of the row, SimHash, hash of the set of shingles, partial SimHashes, sorted 32-bit hashes of the set."""
     from xxhash import xxh64_intdigest
 
     def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,16 +315,21 @@ def shingle_sets(docs: DataFrame, words: int, bands: int, text: str, key: str) -
             for at in range(0, len(whole), 500):
                 batch = whole.slice(at, 500)
                 fps, ths, prints, sets = [], [], [], []
-                for t in batch.column(1).to_pylist():
+                for t in batch.column(2).to_pylist():
                     hashes = shingle_hashes(t, words)
                     distinct = np.unique(hashes)
                     fps.append(majority(hashes))
                     ths.append(xxh64_intdigest(distinct.tobytes()) - (1 << 63))
                     prints.append(partial_prints(distinct, bands))
                     sets.append(np.unique((distinct >> np.uint64(32)).astype("<u4")).tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), pa.array(ths, pa.int64()), pa.array(prints, pa.list_(pa.int64())), pa.array(sets, pa.binary())], names=["k", "fp", "th", "prints", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64()), pa.array(ths, pa.int64()), pa.array(prints, pa.list_(pa.int64())), pa.array(sets, pa.binary())], names=["k", "row", "fp", "th", "prints", "shingles"])
 
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(rows, "k long, fp long, th long, prints array<long>, shingles binary")
+    return docs.select(F.col(f"`{key}`").alias("k"), row_hash(docs).alias("row"), F.col(f"`{text}`").alias("t")).mapInArrow(rows, "k long, row long, fp long, th long, prints array<long>, shingles binary")
+
+
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of the whole row; columns that hold maps, which have no hash, are left out."""
+    return F.xxhash64(*(F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -329,6 +357,50 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.mapInArrow(keep, "a long, b long")
 
 
+def bitmap(shingles: np.ndarray) -> bytes:
+    """Four to eight bits for each shingle of a set, as a power of two; a shingle sets the bit that its low end names."""
+    bits = np.zeros(max(8, 1 << (4 * len(shingles) - 1).bit_length()), bool)
+    bits[shingles & np.uint32(len(bits) - 1)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def may_match(x: bytes, n: int, y: bytes, m: int, similarity: float) -> bool:
+    """Whether sets of n and m shingles with these bitmaps can have the similarity: a bit of one that the other lacks stands for a shingle that it lacks."""
+    p, q = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(p) > len(q):
+        p = p[: len(p) // 2] | p[len(p) // 2 :]
+    while len(q) > len(p):
+        q = q[: len(q) // 2] | q[len(q) // 2 :]
+    most = min(n - int(np.bitwise_count(p & ~q).sum()), m - int(np.bitwise_count(q & ~p).sum()))
+    return most >= similarity * (n + m - most)
+
+
+def sketched(sets: DataFrame) -> DataFrame:
+    """(th, shingles) -> (th, n, bits)."""
+
+    def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            own = [np.frombuffer(x.as_py(), "<u4") for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in own], pa.int32()), pa.array([bitmap(x) for x in own], pa.binary())], names=["th", "n", "bits"])
+
+    return sets.select("th", "shingles").mapInArrow(rows, "th long, n int, bits binary")
+
+
+def possible(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """Of pairs (a, b) those that the bitmaps don't rule out; an eighth or less of the bytes of whole sets is moved."""
+    first = pairs.join(sketches.select(F.col("th").alias("a"), F.col("n").alias("p"), F.col("bits").alias("x")), "a")
+    both = first.join(sketches.select(F.col("th").alias("b"), F.col("n").alias("q"), F.col("bits").alias("y")), "b").select("a", "b", "p", "x", "q", "y")
+
+    def keep(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            good = [may_match(x.as_py(), p, y.as_py(), q, similarity) for p, x, q, y in zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4).to_pylist(), batch.column(5), strict=True)]
+            kept = batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+            if len(kept):
+                yield kept
+
+    return both.mapInArrow(keep, "a long, b long")
+
+
 def common_shingles(sets: DataFrame, texts: int, sample: int = 8192) -> tuple[np.ndarray, np.ndarray]:
     """32-bit shingles that at least two of about `sample` sets have, sorted, and in how many: only the order of prefixes depends on them."""
 
@@ -345,106 +417,294 @@ def common_shingles(sets: DataFrame, texts: int, sample: int = 8192) -> tuple[np
 
 
 def prefixes(sets: DataFrame, common: tuple[np.ndarray, np.ndarray], similarity: float) -> DataFrame:
-    """(th, n, prefix array<int>): the rarest shingles of each set, of which two sets of the similarity share at least one."""
-    spark = sets.sparkSession
-    held = spark.sparkContext.broadcast(common)
+    """(th, root, shingles) -> (s, salt, th, root, place): a row for each of a set's rarest shingles, of which two sets of the similarity share at least one.
+
+    place is the size of the set, shifted by 32 bits, and the shingle's position; salt is -1 but for hot shingles.
+    """
+    held = sets.sparkSession.sparkContext.broadcast(common)
 
     def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = held.value
-        for batch in it:
-            sizes, out = [], []
-            for x in batch.column(1):
-                own = np.frombuffer(x.as_py(), "<u4")
-                rank = np.zeros(len(own), np.uint64)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
-                    rank = np.where(known[at] == own, counts[at], np.uint64(0))
-                keys = np.sort(rank << np.uint64(32) | own.astype(np.uint64))
-                sizes.append(len(own))
-                out.append((keys[: len(own) - int(np.ceil(similarity * len(own) - 1e-6)) + 1] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(out, pa.list_(pa.int32()))], names=["th", "n", "prefix"])
+        for whole in it:
+            for begin in range(0, len(whole), 500):
+                batch = whole.slice(begin, 500)
+                out, sizes = [], []
+                for x in batch.column(2):
+                    own = np.frombuffer(x.as_py(), "<u4")
+                    rank = np.zeros(len(own), np.uint64)
+                    if len(known):
+                        at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                        rank = np.where(known[at] == own, counts[at], np.uint64(0))
+                    keys = np.sort(rank << np.uint64(32) | own.astype(np.uint64))
+                    sizes.append(len(own))
+                    out.append(keys[: len(own) - int(np.ceil(similarity * len(own) - 1e-6)) + 1])
+                n = np.array([len(o) for o in out])
+                keys = np.concatenate(out)
+                each = np.repeat(np.arange(len(out)), n)
+                place = np.repeat(np.array(sizes, np.int64), n) << 32 | (np.arange(len(keys)) - np.repeat(np.cumsum(n) - n, n))
+                th, root = (batch.column(c).to_numpy()[each] for c in (0, 1))
+                salt = np.where(keys >> np.uint64(32) >= HOT_SHINGLE, th & 63, -1).astype(np.int8)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.uint32).view(np.int32)), pa.array(salt), pa.array(th), pa.array(root), pa.array(place)], names=["s", "salt", "th", "root", "place"])
+
+    return sets.select("th", "root", "shingles").mapInArrow(rows, "s int, salt byte, th long, root long, place long")
+
+
+def shared_rows(listed: DataFrame) -> DataFrame:
+    """Of prefix rows those whose shingle stands in sets of different roots, with the group's size c.
+
+    One shuffle brings the rows of a shingle together; hot shingles are spread over 64 salts, and judged afterwards.
+    """
+    group = Window.partitionBy("s", "salt")
+    wide = listed.select("*", F.min("root").over(group).alias("r0"), F.max("root").over(group).alias("r1"), F.count("*").over(group).alias("c"))
+    met = cut(wide.where((F.col("r0") != F.col("r1")) | (F.col("salt") >= 0)).drop("r0", "r1"), "prefix-groups")
+    # at most the words of the sample / HOT_SHINGLE shingles are hot
+    hot = met.where("salt >= 0").groupBy("s").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("hot_c")).where("r0 <> r1").select("s", "hot_c")
+    hot_rows = met.where("salt >= 0").drop("c").join(F.broadcast(hot), "s").withColumnRenamed("hot_c", "c")
+    return met.where("salt < 0").unionByName(hot_rows).drop("salt")
+
+
+def named_rows(met: DataFrame) -> DataFrame:
+    """(s, th, root, place, c) -> (s, th, root, n, pos, named, c): named are the first NAMED shared shingles of the set, in the one order of all prefixes."""
+    one = F.array_sort(F.collect_set(F.struct(F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("pos"), "s", "c"))).alias("all")
+    by_set = met.groupBy("th").agg(F.min("root").alias("root"), F.min(F.shiftright("place", 32).cast("int")).alias("n"), one)
+    rows = by_set.select("th", "root", "n", F.slice("all.s", 1, NAMED).alias("named"), F.explode("all").alias("x")).select("x.s", "th", "root", "n", "x.pos", "named", "x.c")
+    return cut(rows, "prefix-rows")
 
-    return sets.select("th", "shingles").mapInArrow(rows, "th long, n int, prefix array<int>")
 
+def hub_pairs(rows: DataFrame, similarity: float) -> DataFrame:
+    """In each large group all members with one: the set that shares most of its prefix, as the origin of edited copies does. Linear in the rows."""
+    large = rows.where(F.col("c") > JOINED_GROUP)
+    shared = large.join(large.groupBy("th").agg(F.count("*").alias("shared")), "th")
+    hubs = shared.groupBy("s").agg(F.max(F.struct("shared", "th", "root", "n")).alias("hub"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("s", "hub")
+    met = large.join(hubs, "s").where((F.col("root") != F.col("hub.root")) & (F.least("n", "hub.n") >= similarity * F.greatest("n", "hub.n") - 1e-6))
+    return cut(met.select(F.least("th", "hub.th").alias("a"), F.greatest("th", "hub.th").alias("b")).distinct(), "hub-pairs")
 
-def prefix_pairs(listed: DataFrame, similarity: float) -> DataFrame:
-    """(th, root, n, pos, s) -> (a, b): all pairs of different roots that can have the similarity, by their first common prefix shingle.
+
+def prefix_pairs(rows: DataFrame, similarity: float) -> DataFrame:
+    """named_rows -> (a, b): all pairs of different roots that can have the similarity.
 
     The lesser set needs only the shorter prefix of sets that meet no smaller ones. At the first common shingle nothing
-    before it is shared, so what is left of both must hold the least overlap.
+    before it is shared, so what is left of both must hold the least overlap. Pairs whose named shingles meet come out
+    at their first common shingle only, others at each that they share.
     """
-    mixed = listed.groupBy("s").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("s")
-    met = cut(listed.join(mixed, "s", "left_semi"), "prefix-groups")
-    lesser = met.where(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * (2 * similarity / (1 + similarity)) - 1e-6))
-    other = lesser.select("s", *(F.col(c).alias(f"{c}2") for c in ("th", "root", "n", "pos")))
+    few = rows.where(F.col("c") <= JOINED_GROUP).drop("c")
+    lesser = few.where(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * (2 * similarity / (1 + similarity)) - 1e-6))
+    other = lesser.select(*(F.col(c).alias(f"{c}2") for c in few.columns))
     fits = (F.col("root") != F.col("root2")) & (F.col("n2") <= F.col("n")) & (F.col("n2") >= similarity * F.col("n") - 1e-6)
     fits &= F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2")) >= similarity / (1 + similarity) * (F.col("n") + F.col("n2")) - 1e-6
-    return met.join(other, (met["s"] == other["s"]) & fits).select(F.least("th", "th2").alias("a"), F.greatest("th", "th2").alias("b")).distinct()
+    fits &= F.coalesce(F.get(F.array_intersect("named", "named2"), 0), "s") == F.col("s")
+    small = few.join(other, (F.col("s") == F.col("s2")) & fits).select("th", "th2")
+    many = block_pairs(rows, similarity, 1)
+    return cut(small.unionAll(many).select(F.least("th", "th2").alias("a"), F.greatest("th", "th2").alias("b")).distinct(), "prefix-pairs")
 
 
-def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 12, max_bits: int = 3, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, component_id) for every row of docs: the least key among documents joined by links of Jaccard similarity.
+def part_pairs(rows: DataFrame, similarity: float) -> DataFrame:
+    part = block_pairs(rows, similarity, ONE_IN)
+    return cut(part.select(F.least("th", "th2").alias("a"), F.greatest("th", "th2").alias("b")).distinct(), "part-pairs")
+
+
+def block_pairs(rows: DataFrame, similarity: float, one_in: int) -> DataFrame:
+    """The pairs of prefix_pairs in large groups: each block of a group meets each other, and itself, in a call of its own.
+
+    one_in takes a random part of the pairs: sets that have many links then join at a part of the cost of all pairs.
+    """
+    large = rows.where(F.col("c") > JOINED_GROUP)
+    mixed = large.groupBy("s").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("s")
+    rows = large.join(mixed, "s", "left_semi")
+    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
+    own = rows.withColumn("b", F.pmod(F.xxhash64("th"), blocks).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    both = own.select("s", F.least("b", "with").alias("lo"), F.greatest("b", "with").alias("hi"), "b", "th", "root", "n", "pos", "named")
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        s, lo, hi = (int(pdf[c].iloc[0]) for c in ("s", "lo", "hi"))
+        n, pos, root, th = (pdf[c].to_numpy(np.int64) for c in ("n", "pos", "root", "th"))
+        named = np.zeros((len(pdf), NAMED), np.int64)
+        for i, x in enumerate(pdf["named"]):
+            named[i] = np.pad(np.asarray(x, np.int64), (0, NAMED - len(x)), constant_values=1 << 40)
+        short = pos <= n - np.ceil(n * (2 * similarity / (1 + similarity)) - 1e-6)
+        roots, of_root, sizes = np.unique(root, return_inverse=True, return_counts=True)
+        most = of_root == sizes.argmax()  # rows of the commonest root needn't meet one another
+        of = pdf["b"].to_numpy()
+        one, two = of == lo, of == hi
+        a_out, b_out = [], []
+        for left, right in ((np.flatnonzero(one & ~most), np.flatnonzero(two)), (np.flatnonzero(one & most), np.flatnonzero(two & ~most)))[: 1 if lo == hi else 2]:
+            for at in range(0, len(left), 256):
+                i = left[at : at + 256, None]
+                j = right[None, :]
+                small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+                ok = (root[i] != root[j]) & (small >= similarity * large - 1e-6)
+                ok &= np.where(n[i] == n[j], short[i] | short[j], np.where(n[i] < n[j], short[i], short[j]))
+                ok &= np.minimum(n[i] - pos[i], n[j] - pos[j]) >= similarity / (1 + similarity) * (n[i] + n[j]) - 1e-6
+                if lo == hi:
+                    ok &= (i < j) | most[j]
+                if one_in > 1:
+                    ok &= ((th[i] ^ th[j]).view(np.uint64) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(40)) % np.uint64(one_in) == 0
+                x, y = np.nonzero(ok)
+                x, y = left[at + x], right[y]
+                for k in range(0, len(x), 65536):
+                    p, q = x[k : k + 65536], y[k : k + 65536]
+                    same = (named[p][:, :, None] == named[q][:, None, :]).any(axis=2) & (named[p] < 1 << 40)
+                    first = same.argmax(axis=1)
+                    here = ~same.any(axis=1) | (named[p, first] == s)
+                    a_out.append(th[p[here]])
+                    b_out.append(th[q[here]])
+        return pd.DataFrame({"th": np.concatenate(a_out or [th[:0]]), "th2": np.concatenate(b_out or [th[:0]])})
+
+    return both.groupBy("s", "lo", "hi").applyInPandas(meet, "th long, th2 long")
+
+
+def narrow(df: DataFrame, rows: int) -> DataFrame:
+    """A hint to broadcast a table of keys whose counted rows are few enough."""
+    return F.broadcast(df) if rows <= BROADCAST_KEYS else df
+
+
+def joined_texts(docs: DataFrame, **how) -> tuple[DataFrame, DataFrame]:
+    """See _joined_texts; sets and texts are large, so few go to Python at once."""
+    with small_batches(docs.sparkSession, 500):
+        return _joined_texts(docs, **how)
+
+
+def _joined_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 6, max_bits: int = 3, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """Rows (k, row, th) of docs, and (th, root) for each set of shingles that isn't empty.
 
     First most copies are joined at linear cost: candidates are the pigeonhole links of whole fingerprints (within
     max_bits) and, in each group that agrees on a partial fingerprint, all members with two hubs, the least of two random
     orders of the band. Then an exact route: sets that can be similar share a shingle of their prefixes of rarest
     shingles, and all such pairs that aren't joined yet are candidates. All candidates are verified on whole sets, so the
     components are those of all pairs.
-
-    Texts without words are no copies of anything. Null keys and repeated rows are kept; a null key never names a component.
     """
     table = cut(shingle_sets(docs, words, bands, text, key), "shingle-sets")
-    each = cut(table.where(F.length("shingles") > 0).groupBy("th").agg(F.min("k").alias("least"), F.first("fp").alias("fp"), F.first("prints").alias("prints")), "texts")
+    # one row speaks for each set: that of the least key, then of the least row hash
+    each = cut(table.where(F.length("shingles") > 0).groupBy("th").agg(F.min(F.struct(F.col("k").isNull(), "k", "row")).alias("o"), F.first("fp").alias("fp"), F.first("prints").alias("prints")).select("th", "o.k", "o.row", "fp", "prints"), "texts")
+    count = each.count()
     ranks = [F.struct(F.xxhash64("th", "band", F.lit(s)).alias("h"), "th") for s in (1, 2)]
     listed = each.select("th", F.posexplode("prints").alias("band", "print"))
     groups = listed.groupBy("band", "print").agg(F.count("*").alias("n"), *(F.min(r).alias(f"h{i}") for i, r in enumerate(ranks))).where("n > 1")
     met = cut(listed.join(groups.select("band", "print", F.col("h0.th").alias("p"), F.col("h1.th").alias("q")), ["band", "print"]).select("th", "p", "q"), "met")
     hubs = met.select("th", F.col("p").alias("hub")).unionAll(met.select("th", F.col("q").alias("hub")))
     # whole fingerprints: each link of fingerprints stands for the least texts that have them, and texts of one fingerprint meet its least
-    by_print = each.groupBy("fp").agg(F.min("th").alias("th"), F.count("*").alias("n"))
-    ends = links(by_print.select("fp"), max_bits)
+    by_print = cut(each.groupBy("fp").agg(F.min("th").alias("th"), F.count("*").alias("n")), "prints")
+    ends = cut(links(by_print.select("fp"), max_bits), "links")
     of = by_print.select("fp", "th")
-    wide = ends.join(of.withColumnsRenamed({"fp": "a", "th": "x"}), "a").join(of.withColumnsRenamed({"fp": "b", "th": "y"}), "b").select(F.col("x").alias("th"), F.col("y").alias("hub"))
+    wide = cut(ends.join(of.withColumnsRenamed({"fp": "a", "th": "x"}), "a").join(of.withColumnsRenamed({"fp": "b", "th": "y"}), "b").select(F.col("x").alias("th"), F.col("y").alias("hub")), "wide")
     same = each.join(by_print.where("n > 1").select("fp", F.col("th").alias("hub")), "fp").select("th", "hub")
     all_pairs = hubs.unionAll(wide).unionAll(same).where("th <> hub")
     pairs = cut(all_pairs.select(F.least("th", "hub").alias("a"), F.greatest("th", "hub").alias("b")).distinct(), "pairs")
-    count = each.count()
+    free(met, ends, wide, by_print)
+
+    def of_pairs(pairs: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        wanted = pairs.select(F.col("a").alias("th")).unionAll(pairs.select(F.col("b").alias("th"))).distinct()
+        owners = cut(each.join(wanted, "th").select("th", "k", "row"), f"owners-{name}")
+        return owners, one_row(table, owners, owners.count())
+
+    def judged(pairs: DataFrame, name: str, sketch: bool = True) -> DataFrame:
+        likely = pairs
+        if sketch:
+            owners, sets = of_pairs(pairs, name)
+            sketches = cut(sketched(sets).dropDuplicates(["th"]), f"sketches-{name}")
+            likely = cut(possible(pairs, sketches, similarity), f"likely-{name}")
+            free(owners, sketches, pairs)
+        owners, sets = of_pairs(likely, name)
+        sets = cut(sets.dropDuplicates(["th"]).select("th", "shingles"), f"sets-{name}")
+        good = cut(verified(likely, sets, similarity), f"verified-{name}")
+        free(owners, sets, likely)
+        return good
+
+    first = judged(pairs, "hubs", sketch=False)
+    near = pointed(first)
+    rooted = cut(each.join(near, each["th"] == near["node"], "left").select("th", "k", "row", F.coalesce("root", "th").alias("root")), "rooted")
+    own = one_row(table, rooted, count)
+    rows = named_rows(shared_rows(prefixes(own, common_shingles(own, count), similarity)))
+    linked = first
+    for some_pairs in (hub_pairs, part_pairs):  # contract large groups, so that few pairs are left in them
+        tried = some_pairs(rows, similarity)
+        if tried.isEmpty():
+            break
+        good = judged(tried, "round", sketch=False)
+        if not good.isEmpty():
+            linked = linked.unionAll(good)
+            rows = rerooted(rows, good)
+    linked = linked.unionAll(judged(prefix_pairs(rows, similarity), "prefixes"))
+    roots = components(linked).withColumnRenamed("node", "th")
+    named = cut(each.join(roots, "th", "left").select("th", F.coalesce("root", "th").alias("root")), "roots")
+    keys = cut(table.select("k", "row", "th"), "rows")
+    free(table, each, first, near, rows, rooted)
+    return keys, named
+
+
+def pointed(links: DataFrame) -> DataFrame:
+    """links (a, b) -> (node, root): each node with the most linked node of its neighbourhood, two steps far.
+
+    Nodes of one root are joined, but one component may keep several roots: this only saves pairs, components are found at the end.
+    """
+    both = links.select(F.col("a").alias("x"), F.col("b").alias("y")).unionAll(links.select(F.col("b").alias("x"), F.col("a").alias("y")))
+    degree = both.groupBy("x").agg(F.count("*").alias("n"))
+    ends = both.join(degree.select(F.col("x").alias("y"), F.col("n").alias("m")), "y").groupBy("x").agg(F.max(F.struct("m", "y")).alias("best"))
+    step = cut(ends.join(degree, "x").select("x", F.when(F.col("best") > F.struct(F.col("n").alias("m"), F.col("x").alias("y")), F.col("best.y")).otherwise(F.col("x")).alias("y")), "pointers")
+    out = cut(step.join(step.select(F.col("x").alias("y"), F.col("y").alias("z")), "y").select(F.col("x").alias("node"), F.col("z").alias("root")), "pointed")
+    free(step)
+    return out
 
-    def joined(pairs: DataFrame, name: str) -> DataFrame:
-        wanted = cut(pairs.select(F.col("a").alias("th")).unionAll(pairs.select(F.col("b").alias("th"))).distinct(), f"wanted-{name}")
-        # one row of each set: that of the text's least key; sets of single texts aren't moved
-        owners = cut(each.join(wanted, "th").select("th", F.col("least").alias("k")), f"owners-{name}")
-        rows = table.select("k", "th", "shingles")
-        few = F.broadcast(owners) if owners.count() <= 1_000_000 else owners
-        sets = cut(rows.join(few, [rows["th"] == owners["th"], rows["k"].eqNullSafe(owners["k"])], "left_semi").dropDuplicates(["th"]).select("th", "shingles"), f"sets-{name}")
-        return cut(verified(pairs, sets, similarity), f"verified-{name}")
-
-    first = joined(pairs, "hubs")
-    near = each.select("th").join(components(first).withColumnRenamed("node", "th"), "th", "left").select("th", F.coalesce("root", "th").alias("root"))
-    owned = each.select("th", F.col("least").alias("k"))
-    few = F.broadcast(owned) if count <= 1_000_000 else owned
-    whole = table.where(F.length("shingles") > 0).select("k", "th", "shingles")
-    own = whole.join(few, [whole["th"] == owned["th"], whole["k"].eqNullSafe(owned["k"])], "left_semi")
-    short = prefixes(own, common_shingles(own, count), similarity).dropDuplicates(["th"])
-    rare = cut(short.join(near, "th").select("th", "root", "n", F.posexplode("prefix").alias("pos", "s")), "prefixes")
-    second = joined(cut(prefix_pairs(rare, similarity), "prefix-pairs"), "prefixes")
-    roots = components(first.unionAll(second)).withColumnRenamed("node", "th")
-    rooted = cut(each.join(roots, "th", "left").select("th", "least", F.coalesce("root", "th").alias("root")), "rooted")
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_text = cut(rooted.join(named, "root").select("th", "component_id"), "named")
-    out = table.select("k", "th").join(by_text, "th", "left")
-    return out.select(F.col("k").alias(key), F.coalesce("component_id", "k").alias("component_id"))
+
+def rerooted(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """rows with the roots that they have once links (a, b) of sets join the roots they had."""
+    sets = rows.select("th", "root").distinct()
+    ends = links.join(sets.select(F.col("th").alias("a"), F.col("root").alias("x")), "a").join(sets.select(F.col("th").alias("b"), F.col("root").alias("y")), "b")
+    to = pointed(ends.select(F.col("x").alias("a"), F.col("y").alias("b")).where("a <> b"))
+    moved = to.withColumnRenamed("root", "to")
+    out = cut(rows.join(narrow(moved, moved.count()), rows["root"] == moved["node"], "left").withColumn("root", F.coalesce("to", "root")).drop("node", "to"), "prefix-rows")
+    free(rows, to)
+    return out
+
+
+def one_row(table: DataFrame, owners: DataFrame, count: int) -> DataFrame:
+    """Of the table's rows those of owners (th, k, row, ...), with the owners' other columns; equal rows may repeat.
+
+    th is the one key of the join, as a table of single longs is small in memory; k and row are compared as a difference.
+    """
+    rows = table.select("th", "k", "row", "shingles")
+    mine = narrow(owners, count)
+    zero = lambda a, b: a.bitwiseXOR(b) == 0
+    same = zero(rows["row"], owners["row"]) & zero(F.coalesce(rows["k"], F.lit(0)), F.coalesce(owners["k"], F.lit(0))) & zero(rows["k"].isNull().cast("int"), owners["k"].isNull().cast("int"))
+    return rows.join(mine, (rows["th"] == owners["th"]) & same).select(rows["th"], "shingles", *(owners[c] for c in owners.columns if c not in ("th", "k", "row")))
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", **how) -> DataFrame:
-    """The documents that name their component; of rows that repeat a key one stays. Rows with a null key stay."""
-    found = similar_components(docs, key=key, **how)
-    kept = found.where(F.col(key) == F.col("component_id")).select(key).distinct()
-    order = list(docs.columns)
-    one = docs.where(F.col(key).isNotNull()).join(kept, key, "left_semi").dropDuplicates([key])
-    return one.select(order).unionAll(docs.where(F.col(key).isNull()).select(order))
+def similar_components(docs: DataFrame, text: str = "text", key: str = "doc_id", **how) -> DataFrame:
+    """(key, component_id) for every row of docs: the least key among documents joined by links of Jaccard similarity.
+
+    Texts without words (null, empty or blank) are no copies of anything. Null keys and repeated rows are kept; a null
+    key never names a component. Other columns may have any names. An empty table gives no rows.
+    """
+    rows, roots = joined_texts(docs, text=text, key=key, **how)
+    placed = cut(rows.join(roots, "th", "left").select("k", "root"), "placed")
+    named = placed.where("root is not null").groupBy("root").agg(F.min("k").alias("component_id"))
+    return placed.join(named, "root", "left").select(F.col("k").alias(key), F.coalesce("component_id", "k").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", **how) -> DataFrame:
+    """One document of each component stays: that of the least key, of equal keys that of the least row hash.
+
+    A key that repeats with another text is no copy, so texts of other components stay. Of rows that are equal in all
+    columns one stays. Rows with a null key and rows without words all stay. Only keys and hashes are shuffled to
+    decide; the documents meet the decision in one semi-join. Columns stay as they are, whatever their names.
+    """
+    rows, roots = joined_texts(docs, text=text, key=key, **how)
+    counted = rows.where("k is not null").join(roots, "th").groupBy("root", "k", "row").agg(F.count("*").alias("n"))
+    kept = cut(counted.groupBy("root").agg(F.min(F.struct("k", "row", "n")).alias("best")).select("best.k", "best.row", "best.n"), "kept")
+    free(rows, roots)
+    k, words = F.col(f"`{key}`"), F.trim(F.regexp_replace(F.coalesce(F.col(f"`{text}`"), F.lit("")), r"[\x09-\x0D]", " ")) != ""
+    hashed = docs.withColumn("__row", row_hash(docs))
+    few = narrow(kept.select(F.col("k").alias("__k"), F.col("row").alias("__r"), F.col("n").alias("__n")), kept.count())
+    # the row's hash is the one key of the join, as a table of single longs is small in memory; the key is compared beside it
+    met = hashed.join(few, (F.col("__row") == F.col("__r")) & (F.xxhash64(k).bitwiseXOR(F.xxhash64("__k")) == 0) & words, "left")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    out = met.where((F.col("__n") == 1) | k.isNull() | ~words).select(*columns)
+    if kept.where("n > 1").isEmpty():
+        return out
+    return out.unionAll(met.where(F.col("__n") > 1).dropDuplicates(["__k", "__r"]).select(*columns))
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint of 3-word shingles and component of links within 2 bits; see near_components."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return near_components(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
