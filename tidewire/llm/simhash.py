@@ -584,7 +584,8 @@ def _joined_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, band
     hubs = met.select("th", F.col("p").alias("hub")).unionAll(met.select("th", F.col("q").alias("hub")))
     # whole fingerprints: each link of fingerprints stands for the least texts that have them, and texts of one fingerprint meet its least
     by_print = cut(each.groupBy("fp").agg(F.min("th").alias("th"), F.count("*").alias("n")), "prints")
-    ends = cut(links(by_print.select("fp"), max_bits), "links")
+    # a link is found once in each part that it agrees on
+    ends = cut(links(by_print.select("fp"), max_bits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
     of = by_print.select("fp", "th")
     wide = cut(ends.join(of.withColumnsRenamed({"fp": "a", "th": "x"}), "a").join(of.withColumnsRenamed({"fp": "b", "th": "y"}), "b").select(F.col("x").alias("th"), F.col("y").alias("hub")), "wide")
     same = each.join(by_print.where("n > 1").select("fp", F.col("th").alias("hub")), "fp").select("th", "hub")
