@@ -105,7 +105,7 @@ def model_verdicts(spark, d):
 
 def cluster_scores(spark, d):
     c = table(spark, d, "customer").select((F.col("c_custkey") % 20).alias("batch"), (F.floor(F.col("c_custkey") / 20)).cast("int").alias("idx"), "c_custkey", "c_acctbal")
-    said = c.where("idx % 3 <> 0").groupBy("batch").agg(F.to_json(F.struct(F.collect_list(F.struct("idx", F.round(F.col("c_acctbal") / 500, 3).alias("score"))).alias("scores"))).alias("payload"))
+    said = c.where("idx % 3 <> 0").groupBy("batch").agg(F.to_json(F.struct(F.collect_list(F.struct("idx", F.floor(F.col("c_acctbal") / 500).cast("double").alias("score"))).alias("scores"))).alias("payload"))
     got = Q.cluster_scores(said.withColumn("payload", F.when(F.col("batch") == 7, "down").otherwise(F.col("payload"))), c)
     return got.select("c_custkey", "ai_score", "kept")
 
@@ -125,6 +125,6 @@ SQL = {
     "valid_vectors": """SELECT vec_id FROM embeddings WHERE vec_id % 7 > 1 AND vec_id % 5 <> 0""",
     "social_noise": """SELECT conv_id, turn, CASE WHEN turn % 4 = 0 AND conv_id % 3 <> 0 THEN 'reply_chain' WHEN turn % 4 = 1 THEN 'profanity' WHEN turn % 4 = 2 THEN 'hobby' WHEN conv_id % 2 = 0 AND conv_id % 3 <> 0 AND turn * 4 < 5 AND turn < 2 THEN 'low_engagement' WHEN turn * 10 + 15 < 30 THEN 'low_score' ELSE 'kept' END AS reason FROM conversations""",
     "model_verdicts": """SELECT o_custkey AS batch, (o_orderkey % 4)::int AS idx, min(o_orderkey) AS o_orderkey, o_orderkey % 4 = 0 AS same FROM orders WHERE o_orderkey % 4 <= 1 AND o_custkey % 4 <> 2 AND o_custkey IN (SELECT c_custkey FROM customer) GROUP BY 1, 2, 4""",
-    "cluster_scores": """WITH c AS (SELECT c_custkey, CASE WHEN (c_custkey // 20) % 3 <> 0 AND c_custkey % 20 <> 7 THEN greatest(0.0, least(10.0, round(c_acctbal / 500, 3)))::double END AS ai_score FROM customer) SELECT c_custkey, ai_score, ai_score IS NULL OR ai_score >= 6 AS kept FROM c""",
+    "cluster_scores": """WITH c AS (SELECT c_custkey, CASE WHEN (c_custkey // 20) % 3 <> 0 AND c_custkey % 20 <> 7 THEN greatest(0.0, least(10.0, floor(c_acctbal / 500)))::double END AS ai_score FROM customer) SELECT c_custkey, ai_score, ai_score IS NULL OR ai_score >= 6 AS kept FROM c""",
 }
 QUERIES = {k: globals()[k] for k in SQL}
