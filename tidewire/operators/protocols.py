@@ -86,10 +86,11 @@ def groups(answers: DataFrame, requests: DataFrame) -> DataFrame:
 def insights(answers: DataFrame, requests: DataFrame, title: str, members: str) -> DataFrame:
     """(..., insight, rejected): an insight, or why it isn't used: too_long, hollow, restates_title, copies_member. Blank ones give no row."""
     got = items(answers, requests, "items", "insight:string").withColumn("insight", one_line(F.col("item.insight"))).where("insight <> ''")
-    copies = F.coalesce(F.array_max(F.transform(F.coalesce(F.col(members), F.array().cast("array<string>")), lambda m: X.containment(X.words(F.col("insight")), X.words(m)))), F.lit(0.0)) >= COPY_RATIO
+    told = F.transform(F.coalesce(F.col(members), F.array().cast("array<string>")), lambda m: X.words(m))
+    got = got.withColumn("__mine", X.words(F.col("insight"))).withColumn("__copies", F.exists(told, lambda t: X.containment(F.col("__mine"), t) >= COPY_RATIO))
     why = F.when(F.length("insight") > INSIGHT_LIMIT, "too_long").when(G.hollow(F.col("insight")), "hollow")
     judged = got.withColumn("rejected", why).withColumn("__again", G.restates_title(F.col("insight"), F.col(title)))
-    rejected = F.coalesce("rejected", F.when(F.col("__again"), "restates_title").when(copies, "copies_member"), F.lit(""))
+    rejected = F.coalesce("rejected", F.when(F.col("__again"), "restates_title").when(F.col("__copies"), "copies_member"), F.lit(""))
     return judged.select(*requests.columns, F.when(rejected == "", F.col("insight")).otherwise("").alias("insight"), rejected.alias("rejected"))
 
 
