@@ -137,6 +137,12 @@ def test_prior_coverage_equals_brute_force(spark):
     assert got == {k: 0 if t is None else sum(len(brute_fold([(0, o, [], 1.0), (1, t, [], 0.0)])) == 2 and brute_fold([(0, o, [], 1.0), (1, t, [], 0.0)])[1] == 0 for (o,) in old if o) for k, t in new}
 
 
+def test_prior_coverage_without_three_letters_in_a_row(spark):
+    new, old = [(1, "abcdefgh"), (2, "qqqq")], [("abxcdxefxgh",), ("abxcdxefxgh",), ("[a] abcdefgi",), ("hgfedcba",), ("",)]
+    got = {r["k"]: r["prior"] for r in S.prior_coverage(spark.createDataFrame(new, "k int, t string"), "k", "t", spark.createDataFrame(old, "o string"), "o").collect()}
+    assert got == {1: 3, 2: 0}
+
+
 def brute_issues(rows, scores, vetoes, window=21):
     issues = []
     for k, day, scope in sorted(rows, key=lambda r: (r[1], r[0])):

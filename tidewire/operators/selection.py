@@ -49,29 +49,45 @@ def heads_alike(a: Column, b: Column) -> Column:
     return (both >= D.SHARED) & ((both >= D.JACCARD * F.size(F.array_union(a, b))) | (both >= D.CONTAINMENT * F.least(F.size(a), F.size(b))))
 
 
+#: How many archived and how many new titles meet in one group.
+OLD_BLOCK, NEW_BLOCK = 4096, 2048
+
+
 def prior_coverage(rows: DataFrame, key: str, title: str, archive: DataFrame, archive_title: str, ratio: float = D.TITLE_RATIO) -> DataFrame:
     """(key, prior): how many archived titles tell the same event, by heads or by difflib's ratio of the bare titles.
 
-    Candidates share a head or a run of three characters of the bare title; a ratio of 0.82 leaves no pair of six
-    characters or more without one. The pairs are counted, never gathered.
+    Every distinct new title meets every distinct archived one in blocks, inside a task: heads in common are a product of
+    matrices, and lengths, letters and common subsequences leave few pairs to difflib. Only counts leave the task.
     """
-    def side(df: DataFrame, name: str, id_: Column) -> DataFrame:
-        bare = bracketless_key(F.col(name))
-        grams = F.when(F.length(bare) >= 3, F.transform(F.sequence(F.lit(1), F.length(bare) - 2), lambda i: F.substring(bare, i, F.lit(3)))).otherwise(F.array(bare))
-        return df.select(id_.alias("id"), title_heads(F.col(name)).alias("h"), bare.alias("t"), F.array_distinct(grams).alias("grams"))
-
-    left = side(rows, title, F.col(key))
-    right = side(archive.where(F.coalesce(F.col(archive_title), F.lit("")) != "").withColumn("__id", F.monotonically_increasing_id()), archive_title, F.col("__id"))
-    near = left.select("id", F.explode("grams").alias("g")).join(right.select(F.col("id").alias("other"), F.explode("grams").alias("g")), "g").select("id", "other").distinct()
-    by_head = left.select("id", F.explode("h").alias("g")).join(right.select(F.col("id").alias("other"), F.explode("h").alias("g")), "g").groupBy("id", "other").agg(F.count("*").alias("n")).where(F.col("n") >= D.SHARED).select("id", "other")
-    pairs = near.unionAll(by_head).distinct().join(left.select("id", "h", "t"), "id").join(right.select(F.col("id").alias("other"), F.col("h").alias("h2"), F.col("t").alias("t2")), "other")
-
-    @F.pandas_udf("boolean")
-    def close(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([bool(x and y) and 2 * min(len(x), len(y)) >= ratio * (len(x) + len(y)) and difflib.SequenceMatcher(None, x, y).ratio() >= ratio for x, y in zip(a, b, strict=True)])
-
-    same = pairs.where(heads_alike(F.col("h"), F.col("h2")) | close("t", "t2")).groupBy("id").agg(F.count("*").alias("prior"))
-    return rows.select(key).join(same.withColumnRenamed("id", key), key, "left").select(key, F.coalesce("prior", F.lit(0)).alias("prior"))
+    def side(df: DataFrame, *more: Column) -> DataFrame:
+        return df.select("raw", title_heads(F.col("raw")).alias("h"), bracketless_key(F.col("raw")).alias("t"), *more)
+
+    told = archive.where(F.coalesce(F.col(archive_title), F.lit("")) != "").select(F.col(archive_title).alias("raw"))
+    asked = rows.where(F.coalesce(F.col(title), F.lit("")) != "").select(F.col(title).alias("raw")).distinct()
+    parts, blocks = max(1, -(-told.count() // OLD_BLOCK)), max(1, -(-asked.count() // NEW_BLOCK))
+    dealt = lambda n: F.pmod(F.xxhash64("raw"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    old = side(told.groupBy("raw").agg(F.count("*").alias("n")), "n").withColumn("part", dealt(parts)).withColumn("block", every(blocks))
+    new = side(asked).withColumn("block", dealt(blocks)).withColumn("part", every(parts))
+
+    def count(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"raw": pd.Series(dtype=str), "prior": pd.Series(dtype="int64")})
+        place = {h: i for i, h in enumerate(sorted({h for hs in a["h"] for h in hs}))}
+        both = heads(a["h"], place) @ heads(b["h"], place).T
+        x, y = a["h"].map(len).to_numpy()[:, None], b["h"].map(len).to_numpy()[None, :]
+        same = (both >= D.SHARED) & ((both >= D.JACCARD * (x + y - both)) | (both >= D.CONTAINMENT * np.minimum(x, y)))
+        same |= D.close_titles(a["t"].tolist(), b["t"].tolist(), ratio)
+        return pd.DataFrame({"raw": a["raw"], "prior": same @ b["n"].to_numpy()})
+
+    def heads(lists: pd.Series, place: dict[str, int]) -> np.ndarray:
+        out = np.zeros((len(lists), len(place)), np.float32)
+        for row, hs in zip(out, lists, strict=True):
+            row[[place[h] for h in hs if h in place]] = 1
+        return out
+
+    same = new.groupBy("part", "block").cogroup(old.groupBy("part", "block")).applyInPandas(count, "raw string, prior long").groupBy("raw").agg(F.sum("prior").alias("prior"))
+    return rows.select(key, F.col(title).alias("raw")).join(same, "raw", "left").select(key, F.coalesce("prior", F.lit(0)).alias("prior"))
 
 
 def fold_duplicates(rows: DataFrame, group: list[str], key: str, title: str, tags: str, score: str, order: str, ratio: float = D.TITLE_RATIO) -> DataFrame:
