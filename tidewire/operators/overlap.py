@@ -1,6 +1,6 @@
 """Best others by weighed overlap of sets, without a row for each pair: packed rows, sorted in numpy.
 
-Rows are dealt three times, by item, by value and by item again, as blobs of the bytes that are not zero throughout.
+Rows are dealt three times, by item, by value and by item again, as blobs without the bits that are zero throughout.
 """
 
 from __future__ import annotations
@@ -19,37 +19,54 @@ from tidewire.session import checkpointed
 #: Groups that rows are dealt into; a task holds one group at once.
 GROUPS = 1024
 #: Values that are packed together before they are dealt.
-BUFFER = 400_000
+BUFFER = 800_000
 SCHEMA = "p int, body binary"
 _EMPTY = np.zeros(0, np.int64)
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
+    """Each array as its length, the mask of bits that any of its numbers has, and those bits of each number."""
     out = []
     for a in arrays:
         a = np.ascontiguousarray(a, "<i8")
-        mask = int(np.bitwise_or.reduce(a)) if len(a) else 0
-        used = [j for j in range(8) if mask >> (8 * j) & 255]
-        out += [len(a).to_bytes(4, "little"), bytes([sum(1 << j for j in used)]), a.view(np.uint8).reshape(-1, 8)[:, used].T.tobytes()]
+        mask = int(np.bitwise_or.reduce(a)) & (2**64 - 1) if len(a) else 0
+        out += [len(a).to_bytes(4, "little"), mask.to_bytes(8, "little")]
+        if mask:
+            used, bits = _bits(mask)
+            out.append(np.packbits(np.unpackbits(a.view(np.uint8).reshape(-1, 8)[:, used], axis=1, bitorder="little")[:, bits]).tobytes())
     return b"".join(out)
 
 
+def _bits(mask: int) -> tuple[list[int], list[int]]:
+    """The bytes that a mask uses, and its bits counted over these bytes only."""
+    used = [j for j in range(8) if mask >> (8 * j) & 255]
+    return used, [8 * i + k for i, j in enumerate(used) for k in range(8) if mask >> (8 * j + k) & 1]
+
+
 def _unpack(body: bytes) -> list[np.ndarray]:
     out, at = [], 0
     while at < len(body):
-        n, mask = int.from_bytes(body[at:at + 4], "little"), body[at + 4]
-        at += 5
+        n, mask = int.from_bytes(body[at:at + 4], "little"), int.from_bytes(body[at + 4:at + 12], "little")
+        at += 12
         a = np.zeros((n, 8), np.uint8)
-        for j in range(8):
-            if mask >> j & 1:
-                a[:, j] = np.frombuffer(body, np.uint8, n, at)
-                at += n
+        if mask:
+            used, bits = _bits(mask)
+            size = (n * len(bits) + 7) // 8
+            wide = np.zeros((n, 8 * len(used)), np.uint8)
+            wide[:, bits] = np.unpackbits(np.frombuffer(body, np.uint8, size, at), count=n * len(bits)).reshape(n, -1)
+            a[:, used] = np.packbits(wide, axis=1, bitorder="little")
+            at += size
         out.append(a.view("<i8").reshape(-1))
     return out
 
 
-def _delta(a: np.ndarray) -> np.ndarray:
-    return np.diff(a, prepend=np.int64(0))
+def _steps(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted numbers as the first of them and the steps between them."""
+    return a[:1], np.diff(a)
+
+
+def _sum(first: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.concatenate((first, steps)))
 
 
 def _group(v: np.ndarray, tag: np.ndarray | int = 0) -> np.ndarray:
@@ -62,6 +79,11 @@ def _ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
 
 
+def _where(per: np.ndarray) -> np.ndarray:
+    """The column of each later value: per[i, c] of column c for each row i."""
+    return np.repeat(np.tile(np.arange(per.shape[1]), len(per)), per.ravel())
+
+
 def _new(*keys: np.ndarray) -> np.ndarray:
     """Whether a sorted row differs from the one before."""
     out = np.ones(len(keys[0]), bool)
@@ -101,11 +123,11 @@ def _items(blobs: list[list[np.ndarray]], wide: int) -> tuple[np.ndarray, np.nda
     """Key, value and column of each distinct value of a group's items, sorted by key, column and value."""
     parts, gone = [(_EMPTY,) * 3], [_EMPTY]
     for blob in blobs:
-        keys = np.cumsum(blob[0])
-        if len(blob) == 1:
+        keys = _sum(*blob[:2])
+        if len(blob) == 2:
             gone.append(keys)
         else:
-            parts += [(np.repeat(keys, blob[1 + 2 * c]), blob[2 + 2 * c], np.full(len(blob[2 + 2 * c]), c)) for c in range(wide)]
+            parts += [(np.repeat(keys, blob[2 + 2 * c]), blob[3 + 2 * c], np.full(len(blob[3 + 2 * c]), c)) for c in range(wide)]
     keys, values, at = (np.concatenate([x[i] for x in parts]) for i in range(3))
     order = np.lexsort((values, at, keys))
     keys, values, at = keys[order], values[order], at[order]
@@ -118,7 +140,7 @@ def _items(blobs: list[list[np.ndarray]], wide: int) -> tuple[np.ndarray, np.nda
 def best_others(rows: DataFrame, key: str, columns: list[tuple[str, int]], n: int, thick: np.ndarray, twins: bool = False) -> DataFrame:
     """key, other, score, rank of the n best others of each item; of equals the lesser key.
 
-    Each column is an array<bigint>; the rows of a key are one item, and its sets are those of all of them. Weights are
+    Each column is a bigint or an array<bigint>; the rows of a key are one item, and its sets are those of all of them. Weights are
     positive. An other that shares one value only is beaten by n lesser ones with that value unless it is among the
     first n there, so each value sends its first n to its items. Others that share two values or more meet at the first
     of these: there an item brings its later values. `thick` are values of the greatest weight (in the first column
@@ -144,14 +166,15 @@ def best_others(rows: DataFrame, key: str, columns: list[tuple[str, int]], n: in
             counts = [m[order] for m in counts]
             ends = [np.concatenate(([0], np.cumsum(m))) for m in counts]
             keys = keys[order]
-            return _batch([(g, _pack(_delta(keys[a:b]), *(x for c in range(wide) for x in (counts[c][a:b], moved[c][ends[c][a]:ends[c][b]])))) for g, a, b in _slices(p[order])])
+            return _batch([(g, _pack(*_steps(keys[a:b]), *(x for c in range(wide) for x in (counts[c][a:b], moved[c][ends[c][a]:ends[c][b]])))) for g, a, b in _slices(p[order])])
 
         for batch in batches:
             sets = []
             for c in range(wide):
                 array = batch.column(c + 1)
-                m = pc.fill_null(pc.list_value_length(array), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-                flat = array.flatten()
+                listed = pa.types.is_list(array.type)
+                m = pc.fill_null(pc.list_value_length(array), 0).to_numpy(zero_copy_only=False).astype(np.int64) if listed else np.ones(len(array), np.int64)
+                flat = array.flatten() if listed else array
                 if flat.null_count:
                     some = flat.is_valid().to_numpy(zero_copy_only=False)
                     m = np.bincount(np.repeat(np.arange(len(m)), m)[some], minlength=len(m)).astype(np.int64)
@@ -184,7 +207,7 @@ def best_others(rows: DataFrame, key: str, columns: list[tuple[str, int]], n: in
             if len(keys):
                 p = _group(keys)
                 order = np.lexsort((keys, p))
-                yield _batch([(g, _pack(_delta(keys[order][a:b]))) for g, a, b in _slices(p[order])])
+                yield _batch([(g, _pack(*_steps(keys[order][a:b]))) for g, a, b in _slices(p[order])])
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
@@ -199,7 +222,14 @@ def best_others(rows: DataFrame, key: str, columns: list[tuple[str, int]], n: in
             moved = later[_ragged((np.cumsum(total) - total)[order], total[order])]
             keys, values, tags, per, p = keys[order], values[order], tags[order], per[order], p[order]
             ends = np.concatenate(([0], np.cumsum(total[order])))
-            return _batch([(g, _pack(_delta(keys[a:b]), values[a:b], tags[a:b], *per[a:b].T, moved[ends[a]:ends[b]])) for g, a, b in _slices(p)])
+            where = _where(per)
+
+            def body(a: int, b: int) -> bytes:
+                """Values by column, as those of one column have bits in common."""
+                v, at, x, of = values[a:b], tags[a:b] >> 1, moved[ends[a]:ends[b]], where[ends[a]:ends[b]]
+                return _pack(*_steps(keys[a:b]), tags[a:b], *per[a:b].T, *(v[at == c] for c in range(wide)), *(x[of == c] for c in range(wide)))
+
+            return _batch([(g, body(a, b)) for g, a, b in _slices(p)])
 
         for blobs in _by_group(batches):
             keys, values, at = _items(blobs, wide)
@@ -233,16 +263,20 @@ def best_others(rows: DataFrame, key: str, columns: list[tuple[str, int]], n: in
             x, w, m, p = x[order], w[order], m[order], p[order]
             a, b, s, q = a[order2], b[order2], s[order2], q[order2]
             ends = np.concatenate(([0], np.cumsum(m)))
-            bodies = {g: [_delta(x[i:j]), w[i:j], m[i:j], first[ends[i]:ends[j]], _EMPTY, _EMPTY, _EMPTY] for g, i, j in _slices(p)} if len(p) else {}
+            bodies = {g: [*_steps(x[i:j]), w[i:j], m[i:j], first[ends[i]:ends[j]], _EMPTY, _EMPTY, _EMPTY, _EMPTY] for g, i, j in _slices(p)} if len(p) else {}
             for g, i, j in _slices(q) if len(q) else ():
-                bodies.setdefault(g, [_EMPTY] * 7)[4:] = [_delta(a[i:j]), b[i:j], s[i:j]]
+                bodies.setdefault(g, [_EMPTY] * 9)[5:] = [*_steps(a[i:j]), b[i:j], s[i:j]]
             return _batch([(g, _pack(*arrays)) for g, arrays in bodies.items()])
 
         for blobs in _by_group(batches):
-            keys = np.concatenate([np.cumsum(b[0]) for b in blobs])
-            values, tags = (np.concatenate([b[i] for b in blobs]) for i in (1, 2))
+            keys = np.concatenate([_sum(*b[:2]) for b in blobs])
+            tags = np.concatenate([b[2] for b in blobs])
             per = np.concatenate([np.stack(b[3:3 + wide], axis=1) for b in blobs])
-            later = np.concatenate([b[3 + wide] for b in blobs])
+            where = _where(per)
+            values, later = np.empty(len(tags), np.int64), np.empty(len(where), np.int64)
+            for c in range(wide):
+                values[tags >> 1 == c] = np.concatenate([b[3 + wide + c] for b in blobs])
+                later[where == c] = np.concatenate([b[3 + 2 * wide + c] for b in blobs])
             order = np.lexsort((keys, values, tags >> 1))
             total = per.sum(axis=1)
             later = later[_ragged((np.cumsum(total) - total)[order], total[order])]
@@ -261,7 +295,7 @@ def best_others(rows: DataFrame, key: str, columns: list[tuple[str, int]], n: in
             first = keys[np.repeat(begin[asking], m) + j + (np.repeat(rank[asking], m) <= j)]
             # pairs with a later value in common: few rows once those are left out whose mixed value is single
             e = np.repeat(np.arange(len(keys)), total)
-            where = np.repeat(np.tile(np.arange(wide), len(keys)), per.ravel())
+            where = _where(per)
             mixed = (later.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ ((g[e] * wide + where).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
             ordered = np.sort(mixed)
             twice = ordered[1:][ordered[1:] == ordered[:-1]]
@@ -293,9 +327,9 @@ def best_others(rows: DataFrame, key: str, columns: list[tuple[str, int]], n: in
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for blobs in _by_group(batches):
-            x = np.concatenate([part for b in blobs for part in (np.repeat(np.cumsum(b[0]), b[2]), np.cumsum(b[4]))])
-            other = np.concatenate([part for b in blobs for part in (b[3], b[5])])
-            score = np.concatenate([part for b in blobs for part in (np.repeat(b[1], b[2]), b[6])])
+            x = np.concatenate([part for b in blobs for part in (np.repeat(_sum(*b[:2]), b[3]), _sum(*b[5:7]))])
+            other = np.concatenate([part for b in blobs for part in (b[4], b[7])])
+            score = np.concatenate([part for b in blobs for part in (np.repeat(b[2], b[3]), b[8])])
             order = np.lexsort((-score, other, x))
             x, other, score = x[order], other[order], score[order]
             best = _new(x, other)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
+from pyspark.sql.types import ArrayType, ByteType, IntegerType, LongType, ShortType
 from pyspark.sql.window import Window as W
 
 from tidewire.operators import overlap as O
@@ -60,33 +60,42 @@ THICK_VALUES = 2_000_000
 
 
 def _whole(rows: DataFrame, c: str) -> Column:
-    """A set of whole numbers as it is; any other by the XXH64 of its values."""
-    kind = rows.schema[c].dataType.elementType
-    return F.col(c).cast("array<bigint>") if isinstance(kind, INTEGRAL) else F.transform(F.filter(c, lambda v: v.isNotNull()), lambda v: F.xxhash64(v.cast("string")))
+    """Whole numbers, one or a set, as they are; any others by the XXH64 of their text."""
+    kind = rows.schema[c].dataType
+    if not isinstance(kind, ArrayType):
+        return F.col(c).cast("bigint") if isinstance(kind, INTEGRAL) else F.when(F.col(c).isNotNull(), F.xxhash64(F.col(c).cast("string")))
+    return F.col(c).cast("array<bigint>") if isinstance(kind.elementType, INTEGRAL) else F.transform(F.filter(c, lambda v: v.isNotNull()), lambda v: F.xxhash64(v.cast("string")))
+
+
+def _sets(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """rows with an array of one value where a column holds single values."""
+    return rows.withColumns({c: F.array(c) for c in columns if not isinstance(rows.schema[c].dataType, ArrayType)})
 
 
 def related(items: DataFrame, key: str, parts: list[tuple[str, int]], n: int = 3, common: int = COMMON_VALUE) -> DataFrame:
     """For each item the n others with the greatest weighed overlap of its sets; of equals the lesser key.
 
-    The rows of a key are one item. What a sample of the items shows (values that are common, sets that many items
+    A part is a set or a single value; the rows of a key are one item. What a sample of the items shows (values that are common, sets that many items
     share) decides on the way only, not on the result: without common values it is overlap.best_others, else pairs
     over rare values and signatures of the common ones.
     """
     if not isinstance(items.schema[key].dataType, INTEGRAL) or any(w <= 0 for _, w in parts):
         return _related_by_pairs(items, key, parts, n, common)
     rows = items.select(key, *(_whole(items, c).alias(c) for c, _ in parts))
-    every = 16 if common >= 1000 else 1
-    part = rows.where(F.pmod(F.xxhash64(key), F.lit(every)) == 0)
-    sets = part.groupBy(key).agg(*(F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c, _ in parts)).groupBy(*(c for c, _ in parts)).agg(F.count("*").alias("n"))
+    every = 64 if common >= 1000 else 1
+    columns = [c for c, _ in parts]
+    part = _sets(rows.where(F.pmod(F.xxhash64(key), F.lit(every)) == 0), columns)
+    sets = part.groupBy(key).agg(*(F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c, _ in parts)).groupBy(*columns).agg(F.count("*").alias("n")).persist()
     seen = sets.agg(F.sum("n").alias("items"), F.sum(F.when(F.col("n") > 1, F.col("n"))).alias("equal"), F.max("n").alias("most")).first()
     twins = (seen["equal"] or 0) * 4 > (seen["items"] or 0) or (seen["most"] or 0) * every > common
-    met = [sets.select(F.explode(c).alias("v")).groupBy("v").agg(F.count("*").alias("n")).agg(F.max("n").alias("most"), F.count("*").alias("values")).first() for c, _ in parts]
+    met = [sets.select(F.explode(c).alias("v")).groupBy("v").agg(F.count("*").alias("n")).agg(F.max("n").alias("most"), F.count("*").alias("values")).first() for c in columns]
+    sets.unpersist()
     if any((m["most"] or 0) * every > common for m in met):
         return _related_by_pairs(items, key, parts, n, common)
     first = max(range(len(parts)), key=lambda i: parts[i][1])
     some = -(-met[first]["values"] // THICK_VALUES) or 1
     bit = F.expr(f"shiftleft(1L, cast(pmod(xxhash64(7, `{key}`), 64) as int))")
-    held = rows.where(F.pmod(F.xxhash64(key), F.lit(min(every, 4))) == 0).select(F.explode(parts[first][0]).alias("v"), bit.alias("b")).where(F.pmod(F.xxhash64("v"), F.lit(some)) == 0)
+    held = _sets(rows.where(F.pmod(F.xxhash64(key), F.lit(min(every, 4))) == 0), columns).select(F.explode(parts[first][0]).alias("v"), bit.alias("b")).where(F.pmod(F.xxhash64("v"), F.lit(some)) == 0)
     thick = held.groupBy("v").agg(F.bit_count(F.bit_or("b")).alias("n")).where(F.col("n") > n).select("v").where("v is not null").toArrow().column(0).to_numpy()
     out = O.best_others(rows, key, parts, n, thick, twins)
     kind = items.schema[key].dataType
@@ -100,6 +109,8 @@ def _related_by_pairs(items: DataFrame, key: str, parts: list[tuple[str, int]],
     common values is a signature, signatures meet, and an item gets the n + 1 best others by its signature alone. No
     other can be among its first n without a rare value in common, so the result is that of all pairs.
     """
+    items = _sets(items, [c for c, _ in parts])
+
     def tagged(c: str, w: int) -> Column:
         return F.transform(F.array_distinct(c), lambda v: F.struct(F.concat(F.lit(f"{c}:"), v.cast("string")).alias("v"), F.lit(w).alias("w")))
 
